@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwright.llm import exact, lines, media, packing, pieces, quality, secrets, token_counts
+from sparkwright.llm import exact, lines, media, neardup, packing, pieces, quality, secrets, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2, similarity=0.8).drop("digest")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scans, op2_token_counts, op3_packing, op5_sentencepiece, op6_line_dedup, op8_quality, op9_media_columns, op10_exact_dedup)
+    for f in (op1_secret_scans, op2_token_counts, op3_packing, op5_sentencepiece, op6_line_dedup, op7_near_dedup, op8_quality, op9_media_columns, op10_exact_dedup)
 }
 
 _FOLD = "translate(trim({0}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
