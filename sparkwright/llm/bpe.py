@@ -6,6 +6,7 @@ import heapq
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -21,6 +22,7 @@ _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 #: Words that a task remembers; past it the memory starts anew.
 MEMO_WORDS = 250_000
+MEMO_IDS = 400_000
 #: Longer words are not remembered.
 MEMO_CHARS = 64
 
@@ -142,28 +144,44 @@ class MergeCounter:
 
 class WordIds:
     """Identifiers of texts: each distinct word goes to the library once, ids are
-    joined from the words' little-endian bytes."""
+    joined from the bytes of what stands between white space, two for each id where the vocabulary allows it,
+    else four (little-endian)."""
 
     def __init__(self, path: str):
-        self.splitter = Splitter(path)
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        self.splitter = s = Splitter(path)
+        self.wide = s.library.get_vocab_size() > 1 << 16
         self.memo: dict[str, bytes] = {}
+        # The same merges for words that are split and in lower case already.
+        model = s.spec["model"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.words = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, end_of_word_suffix=model.get("end_of_word_suffix") or ""))
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
-    def of_texts(self, texts: list[str]) -> list[bytes]:
-        """Unsigned 32-bit ids of each text, without special tokens added."""
-        import numpy as np
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array("I" if self.wide else "H", ids).tobytes()
 
+    def of_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, without special tokens added."""
         s, memo = self.splitter, self.memo
-        split = [s.words(t) if s.plain(t) else None for t in texts]
-        if len(memo) >= MEMO_WORDS:
-            memo.clear()
+        split = [t.lower().split() if s.plain(t) else None for t in texts]
         seen = set().union(*[w for w in split if w])
-        long = {w for w in seen if len(w) > MEMO_CHARS}
-        fresh = [w for w in seen if w not in memo]
-        for w, e in zip(fresh, s.library.encode_batch_fast(fresh, add_special_tokens=False)):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(memo.__getitem__, w)) if w is not None else np.array(s.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, w in zip(texts, split)]
-        for w in long:
-            memo.pop(w, None)
+        fresh = seen.difference(memo)
+        if len(memo) + len(fresh) > MEMO_IDS:  # what these texts share with those before stays
+            self.memo = memo = {w: memo[w] for w in seen.intersection(memo)}
+        parts = {c: _WORDS.findall(c) for c in fresh}
+        words = list(set().union(*parts.values()).difference(memo))
+        for w, e in zip(words, self.words.encode_batch_fast(words, add_special_tokens=False)):
+            memo[w] = self._bytes(e.ids)
+        for c, w in parts.items():
+            if len(w) != 1:
+                memo[c] = b"".join(map(memo.__getitem__, w))
+        out = [b"".join(map(memo.__getitem__, w)) if w is not None else self._bytes(s.library.encode(t, add_special_tokens=False).ids) for t, w in zip(texts, split)]
+        for c in fresh:
+            if len(c) > MEMO_CHARS:
+                for w in (c, *parts[c]):
+                    memo.pop(w, None)
         return out
 
 

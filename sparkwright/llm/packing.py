@@ -70,13 +70,13 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = word_ids(tokenizer)
-        wide = maker.splitter.library.get_vocab_size() > 1 << 16
+        width = 4 if maker.wide else 2
+        end = end_id.to_bytes(width, "little")
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = [np.frombuffer(x, "<u4") for x in maker.of_texts(texts(part, "text"))]
-                ids = [np.append(x, np.uint32(end_id)).astype("<u4" if wide else "<u2") for x in ids]
+                ids = [x + end for x in maker.of_texts(texts(part, "text"))]
                 curve = hilbert_keys(projected(part.column("text")))
-                arrays = [part.column("doc_id"), pa.array(curve, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
+                arrays = [part.column("doc_id"), pa.array(curve, pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "curve", "n", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

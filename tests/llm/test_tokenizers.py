@@ -33,7 +33,7 @@ def test_word_ids_match_the_library(corpus):
     maker, library = bpe.WordIds(WORDS), bpe.Splitter(WORDS).library
     whole = [*ODD, *corpus]
     for text, ids in zip(whole, maker.of_texts(whole)):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text[:50]
+        assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text[:50]
 
 
 def test_pieces_match_the_library(corpus):
