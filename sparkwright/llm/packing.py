@@ -12,26 +12,26 @@ from pyspark.sql import functions as F
 
 from sparkwright.llm.bpe import word_ids
 from sparkwright.llm.shared import written
-from sparkwright.llm.text import slices, texts, utf8, word_hashes, word_spans
+from sparkwright.llm.text import mixed, slices, texts
 
 #: Dimensions of the projected vectors and bits of each on the curve.
 DIMS, BITS = 4, 12
-#: Spread of a projected mean of word vectors.
+#: Spread of a projected mean of vectors.
 SPREAD = 0.08
 
 
-def projected(column: pa.Array) -> np.ndarray:
-    """Whole numbers below ``2**BITS`` in ``DIMS`` dimensions: each word's hash
-    gives a point in [-1, 1]**DIMS, a text the mean of its words."""
-    data, offsets = utf8(column)
-    starts, ends, first = word_spans(data, offsets)
-    hashes = word_hashes(data, starts, ends)
-    out = np.zeros((len(offsets) - 1, DIMS))
-    n = np.diff(first)
-    full = np.flatnonzero(n)
-    for d in range(DIMS if len(full) else 0):
-        part = ((hashes >> np.uint64(16 * d)) & np.uint64(0xFFFF)).astype(np.float64) / 32767.5 - 1
-        out[full, d] = np.add.reduceat(part, first[:-1][full]) / n[full]
+def id_vectors(n: int) -> np.ndarray:
+    """A hashed vector in [-1, 1]**DIMS for each token id, one row per dimension."""
+    h = mixed(np.arange(1, n + 1, dtype=np.uint64))
+    return np.stack([((h >> np.uint64(16 * d)) & np.uint64(0xFFFF)).astype(np.float32) / np.float32(32767.5) - 1 for d in range(DIMS)])
+
+
+def projected(ids: np.ndarray, lengths: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Whole numbers below ``2**BITS`` in ``DIMS`` dimensions: the mean of the
+    vectors of a document's ids.  ``ids``: those of all documents in turn, one
+    at least for each."""
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    out = np.stack([np.add.reduceat(v[ids], starts, dtype=np.float64) / lengths for v in vectors], axis=1)
     return np.minimum((0.5 + 0.5 * np.tanh(out / SPREAD)) * (1 << BITS), (1 << BITS) - 1).astype(np.int64)
 
 
@@ -72,11 +72,13 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_
         maker = word_ids(tokenizer)
         width = 4 if maker.wide else 2
         end = end_id.to_bytes(width, "little")
+        vectors = id_vectors(max(maker.splitter.library.get_vocab_size(), end_id + 1))
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = [x + end for x in maker.of_texts(texts(part, "text"))]
-                curve = hilbert_keys(projected(part.column("text")))
-                arrays = [part.column("doc_id"), pa.array(curve, pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                lengths = np.array([len(x) // width for x in ids])
+                curve = hilbert_keys(projected(np.frombuffer(b"".join(ids), f"<u{width}"), lengths, vectors))
+                arrays = [part.column("doc_id"), pa.array(curve, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "curve", "n", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
