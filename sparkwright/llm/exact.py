@@ -27,14 +27,21 @@ def digest_filter(digests: DataFrame) -> DataFrame:
     return bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
 
 
-def may_hold(rows: DataFrame, filter_: DataFrame) -> DataFrame:
-    """The rows whose digest may be in the filter.  Its size is bounded by its
-    form, so it is broadcast."""
+def probed(rows: DataFrame, filter_: DataFrame, name: str) -> DataFrame:
+    """``rows`` (with a column ``digest``) and whether the filter may hold their
+    digest, in ``name``.  The filter's size is bounded by its form, so it is
+    broadcast."""
     at = F.bitmap_bit_position(_filter_bit())
-    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     held = F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
-    probe = rows.withColumn("bucket", F.bitmap_bucket_number(_filter_bit()))
-    return probe.join(F.broadcast(filter_), "bucket").filter(held).select(*rows.columns)
+    table = filter_.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
+    out = rows.join(F.broadcast(table), F.bitmap_bucket_number(_filter_bit()) == F.col("__bucket"), "left")
+    return out.withColumn(name, F.coalesce(held, F.lit(False))).drop("__bucket", "__bits")
+
+
+def may_hold(rows: DataFrame, filter_: DataFrame) -> DataFrame:
+    """The rows whose digest may be in the filter."""
+    return probed(rows, filter_, "__held").filter("__held").drop("__held")
 
 
 class DigestIndex:

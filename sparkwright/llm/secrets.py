@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm.shared import new_path
+from sparkwright.llm.exact import digest_filter, probed
+from sparkwright.llm.shared import new_path, written
 from sparkwright.llm.text import slices, texts
 
 #: Base rules: kind, version, pattern, what a match must be like.  Offsets are
@@ -121,7 +122,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     findings = ledger.scan(docs.select(F.col(text_col).alias("text")))
     order = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, (k, _) in enumerate(ledger.rules)])
     flat = findings.select("blob", order.alias("rank"), "kind", F.explode("spans").alias("s")).select("blob", F.struct(F.col("s.start").alias("start"), "rank", "kind", F.col("s.stop").alias("stop")).alias("x"))
-    by_blob = flat.groupBy("blob").agg(F.sort_array(F.collect_list("x")).alias("found"))
+    by_blob = written(flat.groupBy("blob").agg(F.sort_array(F.collect_list("x")).alias("found")), "findings")
     paths = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("blob"))
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int>>")
     return paths.join(by_blob, "blob", "left").select("doc_id", "blob", F.coalesce("found", none).alias("found"))
@@ -140,8 +141,9 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     overlapping spans give one mark.  All columns stay, and so do all rows; a
     row without findings is unchanged, null text included.
 
-    Findings go back to the texts by digest; only the findings' side is built
-    in memory, and a large group of copies is split by adaptive execution.
+    Only texts whose digest may have findings, by a filter of fixed size, are
+    shuffled to meet them; a large group of copies is split by adaptive
+    execution.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
     findings = ledger.scan(docs.select(F.col(text_col).alias("text")))
@@ -151,9 +153,13 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     start = F.struct(F.array().cast(SPANS).alias("done"), F.lit(-1).alias("a"), F.lit(-1).alias("b"))
     closed = lambda s: F.when(s.a < 0, s.done).otherwise(F.concat(s.done, F.array(F.struct(s.a.alias("start"), s.b.alias("stop")))))
     step = lambda s, x: F.when((s.a >= 0) & (x.start < s.b), F.struct(s.done.alias("done"), s.a.alias("a"), F.greatest(s.b, x.stop).alias("b"))).otherwise(F.struct(closed(s).alias("done"), x.start.alias("a"), x.stop.alias("b")))
-    by_blob = by_blob.select("blob", F.aggregate("__found", start, step, closed).alias("__spans"))
+    by_blob = written(by_blob.select("blob", F.aggregate("__found", start, step, closed).alias("__spans")), "findings")
     text, spans = F.col(text_col), F.col("__spans")
     piece = F.transform(spans, lambda x, i: F.concat(F.substring(text, F.when(i == 0, F.lit(1)).otherwise(F.get(spans, i - 1).stop + 1), x.start - F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1).stop)), F.lit(mark)))
     clean = F.concat(F.array_join(piece, ""), F.substring(text, F.get(spans, F.size(spans) - 1).stop + 1, F.length(text)))
     columns = [F.when(spans.isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return docs.withColumn("blob", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))).join(by_blob.hint("shuffle_hash"), "blob", "left").select(*columns)
+    held = digest_filter(by_blob.select(F.col("blob").alias("digest")))
+    rows = docs.select(F.struct("*").alias("__row"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("digest"))
+    rows = probed(rows, held, "__held")
+    hit = rows.filter("__held").join(by_blob, F.col("digest") == F.col("blob"), "left").select("__row.*", "__spans").select(*columns)
+    return rows.filter("not __held").select("__row.*").unionByName(hit)
