@@ -149,4 +149,4 @@ def quarantined_rows(checked: DataFrame) -> DataFrame:
 def error_table(checked: DataFrame) -> DataFrame:
     """One row per failed check."""
     ids = [c for c in ("row_uuid", "row_number") if c in checked.columns]
-    return checked.select(*ids, F.explode(ERRORS).alias("x")).select(*ids, "x.*")
+    return checked.select(*ids, F.explode_outer(ERRORS).alias("x")).filter("x is not null").select(*ids, "x.*")

@@ -25,7 +25,7 @@ def canonical_values(spark: SparkSession, contract: TableContract, columns: tupl
 def long_values(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """(row_number, column, value) without nulls."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in columns])
-    return df.select("row_number", F.explode(pairs).alias("x")).select("row_number", "x.column", "x.value").filter("value is not null")
+    return df.select("row_number", F.explode_outer(pairs).alias("x")).select("row_number", "x.column", "x.value").filter("value is not null")
 
 
 def residual_cells(df: DataFrame, contract: TableContract, columns: tuple[str, ...]) -> DataFrame:

@@ -120,54 +120,76 @@ def _none() -> Column:
     return F.array().cast(CHANGE)
 
 
-def _apply(df: DataFrame, order: int, rule: Rule, columns: list[str], log_all: bool) -> DataFrame:
-    """One rule on its columns: new values first, under other names, so that each
-    is worked out once; then values and log move into place."""
-    new = {c: f"__new_{k}" for k, c in enumerate(columns)}
-    df = df.withColumns({new[c]: rule.value(F.col(f"`{c}`")) for c in columns})
-    logged = (lambda a, b: ~a.eqNullSafe(b)) if log_all and rule.rule_id == "numeric_cleaning" else rule.logged
-    logs = [F.when(logged(F.col(f"`{c}`"), F.col(new[c])), F.array(_change(100 * order + k, c, F.col(f"`{c}`"), F.col(new[c]), rule.rule_id, rule.reason))).otherwise(_none()) for k, c in enumerate(columns)]
-    keep = [F.col(new[c]).alias(c) if c in new else F.col(f"`{c}`") for c in df.columns if c not in new.values() and c != CHANGES]
-    return df.select(*keep, F.concat(F.col(CHANGES), *logs).alias(CHANGES))
-
-
-def _sign_fix(df: DataFrame, order: int) -> DataFrame:
-    """A negative debit becomes a credit and overwrites what stood there; else a
-    negative credit becomes a debit.  The emptied side is an empty text."""
-    if "Debit Amount" not in df.columns and "Credit Amount" not in df.columns:
-        return df
-    d, c = (F.col(f"`{n}`") if n in df.columns else F.lit(None).cast("string") for n in ("Debit Amount", "Credit Amount"))
-    negative = lambda x: F.coalesce(amounts.parsed(x) < 0, F.lit(False))
-    df = df.withColumns({"__neg_debit": negative(d), "__neg_credit": negative(c)})
-    by_debit, by_credit = F.col("__neg_debit"), ~F.col("__neg_debit") & F.col("__neg_credit")
-    flipped = lambda x: F.regexp_replace(amounts.cleaned(x), "^-", "")
-    pair = lambda k, one, other, name, to: F.array(_change(100 * order, name, one, F.lit(""), *SIGN_RULES[k]), _change(100 * order + 1, to, F.coalesce(other, F.lit("")), flipped(one), *SIGN_RULES[k]))
-    log = F.when(by_debit, pair(0, d, c, "Debit Amount", "Credit Amount")).when(by_credit, pair(1, c, d, "Credit Amount", "Debit Amount")).otherwise(_none())
-    values = {"Debit Amount": F.when(by_debit, "").when(by_credit, flipped(c)).otherwise(d), "Credit Amount": F.when(by_debit, flipped(d)).when(by_credit, "").otherwise(c)}
-    keep = [values[n].alias(n) if n in values else F.col(f"`{n}`") for n in df.columns if not n.startswith("__neg_") and n != CHANGES]
-    return df.select(*keep, F.concat(F.col(CHANGES), log).alias(CHANGES))
+class _Fold:
+    """The rules as a few projections.  Every new value is a column of its own,
+    one step above the value that it is made from, so a step holds the work of
+    all columns; the log compares the versions at the end."""
+
+    def __init__(self, names: list[str]):
+        self.now = {n: (F.col(f"`{n}`"), 0) for n in names}
+        self.steps: list[dict[str, Column]] = []
+        self.log: list[Column] = []
+
+    def put(self, step: int, value: Column) -> Column:
+        while len(self.steps) < step:
+            self.steps.append({})
+        name = f"__v{step}_{len(self.steps[step - 1])}"
+        self.steps[step - 1][name] = value
+        return F.col(name)
+
+    def rule(self, order: int, rule: Rule, columns: list[str], log_all: bool) -> None:
+        logged = (lambda a, b: ~a.eqNullSafe(b)) if log_all and rule.rule_id == "numeric_cleaning" else rule.logged
+        for k, name in enumerate(columns):
+            old, step = self.now[name]
+            new = self.put(step + 1, rule.value(old))
+            self.now[name] = new, step + 1
+            self.log.append(F.when(logged(old, new), F.array(_change(100 * order + k, name, old, new, rule.rule_id, rule.reason))).otherwise(_none()))
+
+    def sign_fix(self, order: int) -> None:
+        """A negative debit becomes a credit and overwrites what stood there; else
+        a negative credit becomes a debit.  The emptied side is an empty text."""
+        names = "Debit Amount", "Credit Amount"
+        if not any(n in self.now for n in names):
+            return
+        (d, c), step = (self.now.get(n, (F.lit(None).cast("string"), 0))[0] for n in names), max(self.now.get(n, (None, 0))[1] for n in names) + 1
+        negative = lambda x: F.coalesce(amounts.parsed(x) < 0, F.lit(False))
+        minus_d, minus_c = self.put(step, negative(d)), self.put(step, negative(c))
+        flip_d, flip_c = (self.put(step, F.regexp_replace(amounts.cleaned(x), "^-", "")) for x in (d, c))
+        minus_c = ~minus_d & minus_c
+        pair = lambda k, one, other, flip, name, to: F.array(_change(100 * order, name, one, F.lit(""), *SIGN_RULES[k]), _change(100 * order + 1, to, F.coalesce(other, F.lit("")), flip, *SIGN_RULES[k]))
+        self.log.append(F.when(minus_d, pair(0, d, c, flip_d, *names)).when(minus_c, pair(1, c, d, flip_c, *names[::-1])).otherwise(_none()))
+        for name, value in zip(names, (F.when(minus_d, "").when(minus_c, flip_c).otherwise(d), F.when(minus_d, flip_d).when(minus_c, "").otherwise(c))):
+            if name in self.now:
+                self.now[name] = self.put(step + 1, value), step + 1
 
 
 def apply_rules(df: DataFrame, contract: TableContract, rules: tuple[Rule | str, ...] = RULES, log_all_numbers: bool = False) -> DataFrame:
     """``df`` with its values normalised and its changes in ``__changes``.
 
-    A projection without shuffle, UDF or second pass.  Two rules work on the
-    account column: where the dictionary has the value, only the first counts.
+    A few projections, without shuffle, UDF or second pass.  Two rules work on
+    the account column: where the dictionary has the value, only the first counts.
     """
-    df = df.withColumn(CHANGES, _none())
     names = [c for c in df.columns if c not in SYSTEM_COLUMNS and c != CHANGES]
+    fold = _Fold(names)
     for order, rule in enumerate(rules):
         if rule == "sign_fix":
-            df = _sign_fix(df, order)
+            fold.sign_fix(order)
         elif columns := rule.columns(names, contract):
-            df = _apply(df, order, rule, columns, log_all_numbers)
-    return df
+            fold.rule(order, rule, columns, log_all_numbers)
+    columns = [c for c in df.columns if c != CHANGES]
+    for step in fold.steps:
+        df = df.withColumns(step)
+    log = F.concat(*fold.log) if fold.log else _none()
+    return df.select(*[fold.now[c][0].alias(c) if c in fold.now else F.col(f"`{c}`") for c in columns], log.alias(CHANGES))
 
 
 def change_log(ruled: DataFrame, source: str = "rule") -> DataFrame:
-    """One row per recorded change."""
+    """One row per recorded change.  The outer form of explode: for the inner one
+    the optimizer puts a test of the whole array, written out from the source
+    columns, before all the rules."""
     ids = [c for c in SYSTEM_COLUMNS if c in ruled.columns]
-    return ruled.select(*ids, F.explode(CHANGES).alias("x")).select(*ids, "x.ord", "x.column", "x.before", "x.after", "x.rule_id", "x.reason", F.lit(1.0).alias("confidence"), F.lit(source).alias("source"))
+    flat = ruled.select(*ids, F.explode_outer(CHANGES).alias("x")).filter("x is not null")
+    return flat.select(*ids, "x.ord", "x.column", "x.before", "x.after", "x.rule_id", "x.reason", F.lit(1.0).alias("confidence"), F.lit(source).alias("source"))
 
 
 def rules_summary(log: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkwright.contract import DATE, DECIMAL, ColumnSpec, TableContract
 from sparkwright.functions.identifiers import row_uuid
+from sparkwright.sources.tabular import spread
 
 #: Short name in SQL -> column of the ledger.
 COLUMNS = {
@@ -41,7 +42,7 @@ FROM (SELECT *, cast(o_orderkey AS BIGINT) AS k, cast(o_orderkey AS STRING) AS k
 
 def messy_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relation with the ledger's column names, ``row_uuid`` and ``row_number``."""
-    rows = spark.sql(SQL, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    rows = spark.sql(SQL, orders=spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")))
     named = rows.withColumnsRenamed(COLUMNS)
     return named.withColumn("row_uuid", row_uuid([named[f"`{c}`"] for c in COLUMNS.values()]))
 

@@ -67,7 +67,7 @@ def _clean_text(c: str) -> str:
 
 
 def _stage(n: int, new: dict[str, str]) -> str:
-    return f"s{n} AS (SELECT row_number, " + ", ".join(f"{new[c]} AS {c}" if c in new else c for c in _ALL) + f" FROM s{n - 1})"
+    return f"s{n} AS MATERIALIZED (SELECT row_number, " + ", ".join(f"{new[c]} AS {c}" if c in new else c for c in _ALL) + f" FROM s{n - 1})"
 
 
 _CASED = {c: f"coalesce({_dictionary(_title(c), TITLES)}, {_title(c)})" for c in ("acct", "dept")}
@@ -86,7 +86,7 @@ _STEPS = (
     ("reference_number_format", {"ref": _reference("ref")}),
 )
 N = len(_STEPS)
-STAGES = "f AS (" + SQL.format(orders="orders") + "), s0 AS (SELECT * FROM f), " + ", ".join(_stage(k + 1, new) for k, (_, new) in enumerate(_STEPS))
+STAGES = "f AS MATERIALIZED (" + SQL.format(orders="orders") + "), s0 AS MATERIALIZED (SELECT * FROM f), " + ", ".join(_stage(k + 1, new) for k, (_, new) in enumerate(_STEPS))
 
 
 def _log() -> str:
@@ -106,7 +106,7 @@ def _log() -> str:
     return " UNION ALL ".join(parts)
 
 
-LOG = f"log AS ({_log()})"
+LOG = f"log AS MATERIALIZED ({_log()})"
 
 _POSITIVE = "coalesce(try_cast(nullif({0}, '') AS DECIMAL(38,2)) > 0, false)"
 _DECIMAL = r"regexp_full_match({0}, '[+-]?(\d+(\.\d*)?|\.\d+)')"
@@ -139,8 +139,8 @@ def _errors(source: str, strict: bool) -> str:
     return " UNION ALL ".join(out)
 
 
-ERRORS = f"e AS ({_errors(f's{N}', True)})"
-LOOSE = f"e AS ({_errors(f's{N}', False)})"
+ERRORS = f"e AS MATERIALIZED ({_errors(f's{N}', True)})"
+LOOSE = f"e AS MATERIALIZED ({_errors(f's{N}', False)})"
 CATEGORY = """
     first_kind AS (SELECT row_number, arg_min(error_type, ord) FILTER (WHERE error_type IN ('debit_xor_credit', 'missing_column', 'required_field', 'type_mismatch', 'missing_primary_key', 'duplicate_primary_key')) AS k,
         bool_or(error_type IN ('debit_xor_credit', 'missing_column', 'required_field')) AS hard, bool_or(error_type = 'type_mismatch') AS typed, count(*)::BIGINT AS n FROM e GROUP BY row_number),
@@ -158,8 +158,8 @@ def rules_mapper(value: str, tests: tuple) -> str:
 
 
 _CANON = {"Department": "('Sales','Operations','Admin','IT','Finance','Marketing','HR','Legal','Engineering','Support')", "Account Name": "('Cash','Accounts Receivable','Accounts Payable','Sales Revenue','Cost of Goods Sold','Operating Expenses','Equipment','Inventory','Retained Earnings')"}
-RESIDUAL = "cells AS (" + " UNION ALL ".join(f"SELECT row_number, {_text(COLUMNS[c])} AS \"column\", {c} AS value FROM s{N} WHERE {c} IS NOT NULL AND {c} NOT IN {_CANON[COLUMNS[c]]}" for c in ("dept", "acct")) + "), r AS (SELECT \"column\", value, count(*)::BIGINT AS n_rows, min(row_number) AS first_row FROM cells GROUP BY ALL)"
-MAPPED = f"m AS (SELECT \"column\", value, n_rows, first_row, CASE \"column\" WHEN 'Department' THEN {rules_mapper('value', DEPARTMENT_TESTS)} ELSE {rules_mapper('value', ACCOUNT_TESTS)} END AS mapped, 0.9 AS confidence FROM r)"
+RESIDUAL = "cells AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT row_number, {_text(COLUMNS[c])} AS \"column\", {c} AS value FROM s{N} WHERE {c} IS NOT NULL AND {c} NOT IN {_CANON[COLUMNS[c]]}" for c in ("dept", "acct")) + "), r AS MATERIALIZED (SELECT \"column\", value, count(*)::BIGINT AS n_rows, min(row_number) AS first_row FROM cells GROUP BY ALL)"
+MAPPED = f"m AS MATERIALIZED (SELECT \"column\", value, n_rows, first_row, CASE \"column\" WHEN 'Department' THEN {rules_mapper('value', DEPARTMENT_TESTS)} ELSE {rules_mapper('value', ACCOUNT_TESTS)} END AS mapped, 0.9 AS confidence FROM r)"
 
 
 def with_(*parts: str) -> str:

@@ -87,6 +87,13 @@ def numbered(df: DataFrame, start: int = 1) -> DataFrame:
     return with_id.withColumn("__p", part).join(F.broadcast(table), "__p").select(*[F.col(f"`{c}`") for c in names], at.alias("row_number"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that comes in fewer parts than there are cores, such as one small
+    file, is dealt out anew; anything larger stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def nulled(df: DataFrame, tokens: tuple[str, ...] = NULL_TOKENS) -> DataFrame:
     return df.select(*[F.when(~F.col(f"`{c}`").isin(*tokens), F.col(f"`{c}`")).alias(c) for c in df.columns])
 
@@ -106,7 +113,7 @@ def read_table(spark: SparkSession, path: str, contract: TableContract | None =
     df = df if lenient else nulled(df)
     if options.row_limit is not None and df.limit(options.row_limit + 1).count() > options.row_limit:
         raise ValueError(f"more than {options.row_limit} rows")
-    df = numbered(df)
+    df = spread(numbered(df))
     return df.select(row_uuid([F.col(f"`{c}`") for c in names]).alias("row_uuid"), "row_number", *[F.col(f"`{c}`") for c in names])
 
 
