@@ -1,4 +1,12 @@
-"""The corpus pipeline: quality, lines, near copies, secrets, packing."""
+"""The corpus pipeline: quality, lines, near copies, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir), works on every row of ``docs`` and, but
+for the last, returns the columns of ``docs``, extra ones included whatever
+their names.  Null ids, null or empty texts, repeated rows and empty tables have
+the results that the operators' docstrings state: a null text is scored like an
+empty one, loses no line, is no one's copy, holds no secret and stays null until
+it is packed as an empty document of one token.
+"""
 
 from __future__ import annotations
 
