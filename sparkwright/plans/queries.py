@@ -91,11 +91,11 @@ def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabular.fingerprints(spark, f"{sf_dir}/orders.parquet").select("length", "sha256")
 
 
-@query("""WITH l AS (SELECT o_orderkey AS n, concat_ws(',', o_orderkey::VARCHAR, o_orderpriority, o_orderstatus) || CASE WHEN o_orderkey = 3 THEN ';' ELSE '' END AS value FROM orders WHERE o_orderkey < 10),
+@query("""WITH l AS (SELECT o_orderkey AS n, concat_ws(',', o_orderkey::VARCHAR, o_orderpriority, o_orderstatus) || CASE WHEN o_orderkey = 3 THEN ';' ELSE '' END AS value FROM orders ORDER BY o_orderkey LIMIT 10),
     c AS (SELECT k - 1 AS k, d, n, length(value) - length(replace(value, d, '')) AS c FROM l, (SELECT unnest([1, 2, 3, 4, 5]) AS k, unnest([',', chr(9), '|', ';', ':']) AS d))
     SELECT k::BIGINT AS k, d AS delimiter, (CASE WHEN min(c) = max(c) AND min(c) > 0 THEN min(c) * 10 ELSE arg_min(c, n) END)::BIGINT AS score FROM c GROUP BY k, d""")
 def detect_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey < 10")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     value = F.concat(F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority", "o_orderstatus"), F.when(F.col("o_orderkey") == 3, ";").otherwise(""))
     return tabular.delimiter_scores(o.select(F.col("o_orderkey").alias("n"), value.alias("value"))).withColumn("k", F.col("k").cast("long"))
 
@@ -397,9 +397,9 @@ _mapper("mapper_rules_department", "Department")
 _mapper("mapper_rules_account", "Account Name")
 
 
-@query("SELECT o_orderkey::BIGINT AS id, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE o_orderpriority END AS mapped FROM orders WHERE o_orderkey < 100")
+@query("SELECT o_orderkey::BIGINT AS id, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE o_orderpriority END AS mapped FROM orders")
 def parse_mapper_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey < 100")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     body = F.to_json(F.create_map(F.lit("x"), F.col("o_orderpriority")))
     text = F.when(F.col("o_orderkey") % 3 == 0, body).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise("no json")
     return o.select(F.col("o_orderkey").cast("long").alias("id"), F.try_element_at(residual.parsed_response(text), F.lit("x")).alias("mapped"))
@@ -455,7 +455,7 @@ def join_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _VERSIONS = """SELECT 'Department' AS column_name, o_orderpriority AS variant_value, concat('m', cast(o_orderkey % 2 AS STRING)) AS model_id,
     CASE cast(o_orderkey % 3 AS INT) WHEN 0 THEN 'Sales' WHEN 1 THEN 'IT' ELSE 'HR' END AS canonical_value, cast(cast(70 + 5 * (o_orderkey % 5) AS DECIMAL(5,2)) / 100 AS DOUBLE) AS confidence,
-    cast(o_orderdate AS DATE) AS created_at, o_orderkey % 4 = 0 AS is_approved, cast(o_orderkey % 9 AS BIGINT) AS use_count FROM {orders} WHERE o_custkey % 5 <> 4"""
+    cast(o_orderdate AS DATE) AS created_at, o_orderkey % 4 = 0 AS is_approved, cast(o_orderkey % 9 AS BIGINT) AS use_count FROM {orders}"""
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -553,7 +553,7 @@ def cache_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PATCHES = """SELECT CASE WHEN o_orderkey % 29 = 0 THEN -1 - o_orderkey ELSE o_orderkey END AS row_number, CASE WHEN o_orderkey % 23 = 0 THEN 'Nowhere' ELSE 'Department' END AS `column`,
     CASE WHEN o_orderkey % 4 = 0 THEN 'stale' WHEN o_orderpriority = '1-URGENT' THEN ' Sales ' WHEN o_orderpriority = '2-HIGH' THEN 'Operations' ELSE 'HR' END AS before, 'Legal' AS after,
-    cast(cast(75 + 5 * (o_orderkey % 5) AS DECIMAL(5,2)) / 100 AS DOUBLE) AS confidence, CASE WHEN o_orderkey % 2 = 0 THEN 'human' ELSE 'llm' END AS source FROM {orders} WHERE o_orderkey % 3 = 0"""
+    cast(cast(75 + 5 * (o_orderkey % 5) AS DECIMAL(5,2)) / 100 AS DOUBLE) AS confidence, CASE WHEN o_orderkey % 2 = 0 THEN 'human' ELSE 'llm' END AS source FROM {orders}"""
 
 
 def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
