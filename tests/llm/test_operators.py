@@ -189,6 +189,28 @@ def test_near_copies(docs, texts, words):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {k: (len(s), want[k], want[k] == k) for k, s in sets.items()}
 
 
+def test_near_copies_find_the_one_link_among_many_nearly_similar(spark):
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+
+    def changed(places, name):
+        return [f"{name}.{p}" if p in places else w for p, w in enumerate(base)]
+
+    for k in range(40):  # alike, and each at 0.785 from each row of nine changes below
+        rows.append(changed({1 + 4 * ((k + j) % 49) for j in (0, 7, 20)}, f"m{k}"))
+    for k in range(12):  # its only link, of 0.8009, is a row that shares one of its words
+        own = 3 + 4 * k
+        rows.append(changed({own, *(3 + 4 * (12 + (3 * k + 4 * j) % 37) for j in range(8))}, f"s{k}"))
+        w = changed({1 + 4 * ((k + j) % 49) for j in (3, 11)}, f"y{k}")
+        w[own] = f"s{k}.{own}"
+        rows.append(w)
+    texts = {k: " ".join(w) for k, w in enumerate(rows)}
+    want = brute_components({k: shingles(t, 2) for k, t in texts.items()})
+    assert set(want.values()) == {0}
+    got = neardup.near_groups(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"), words=2)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
 def test_near_copies_in_one_large_group(spark):
     rng = np.random.default_rng(1)
     base = [f"w{k}" for k in range(200)]
