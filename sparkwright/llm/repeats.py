@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkwright.llm.exact import BUCKET_BITS
+from sparkwright.llm.shared import written
 from sparkwright.llm.text import mixed, slices, utf8, word_hashes, word_spans
 
 #: Words of the gram that is hashed at each position; a position is kept if its
@@ -21,6 +23,11 @@ GRAM, WINDOW = 10, 32
 FILTER_BUCKETS = 512
 #: Rows of the sorted suffixes that are looked at together.
 BUFFER = 1 << 16
+#: Rows either side of the bound of two partitions that are looked at together.
+EDGE = 64
+
+_MATCH = "doc_id long, start long, stop long, other_id long, other_start long"
+_ROW = "gram long, at long, after long, right binary, left binary"
 
 
 def kept_positions(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,51 +104,82 @@ def _binary(column: pa.Array, reach: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(">u2").reshape(-1, reach)
 
 
-def matches(gram: np.ndarray, doc: np.ndarray, at: np.ndarray, after: np.ndarray, right: np.ndarray, left: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+def matches(gram: np.ndarray, doc: np.ndarray, at: np.ndarray, after: np.ndarray, right: np.ndarray, left: np.ndarray, least: int, side: str) -> tuple[np.ndarray, ...]:
     """(row, partner row, words left of the gram, words right of it) of sorted
     suffixes that match a neighbour from another document over ``least`` words
-    or more.  Neighbours are taken in the order of the right sides and, within
-    the same gram, in that of the left sides."""
+    or more.  Neighbours of the same gram are taken in the order of the right or
+    the left ``side``s."""
     n, out = len(gram), []
     big = gram.view(np.uint64).astype(">u8").view(np.uint8).reshape(n, 8)
     agree = lambda x, a, b: np.cumprod(x[a] == x[b], axis=1).sum(axis=1)
-    for side in (right, left):
-        keys = np.ascontiguousarray(np.concatenate([big, side.view(np.uint8).reshape(n, -1)], axis=1)).view(f"V{8 + 2 * side.shape[1]}").reshape(n)
-        order = np.argsort(keys, kind="stable")
-        d = doc[order]
-        run = np.concatenate([[True], d[1:] != d[:-1]])
-        run_start = np.maximum.accumulate(np.where(run, np.arange(n), 0))
-        run_stop = np.append(np.flatnonzero(run)[1:], n)[np.cumsum(run) - 1]
-        for other in (run_start - 1, run_stop):  # the nearest row of another document before and after
-            ok = (other >= 0) & (other < n)
-            a, b = order[ok], order[other[ok]]
-            same = gram[a] == gram[b]
-            a, b = a[same], b[same]
-            if len(a):
-                r = np.minimum(agree(right, a, b), np.minimum(after[a], after[b]))
-                l = np.minimum(agree(left, a, b), np.minimum(at[a], at[b]))
-                long = r + l + GRAM >= least
-                out.append((a[long], b[long], l[long], r[long]))
+    words = right if side == "right" else left
+    keys = np.ascontiguousarray(np.concatenate([big, words.view(np.uint8).reshape(n, -1)], axis=1)).view(f"V{8 + 2 * words.shape[1]}").reshape(n)
+    order = np.argsort(keys, kind="stable")
+    d = doc[order]
+    run = np.concatenate([[True], d[1:] != d[:-1]])
+    run_start = np.maximum.accumulate(np.where(run, np.arange(n), 0))
+    run_stop = np.append(np.flatnonzero(run)[1:], n)[np.cumsum(run) - 1]
+    for other in (run_start - 1, run_stop):  # the nearest row of another document before and after
+        ok = (other >= 0) & (other < n)
+        a, b = order[ok], order[other[ok]]
+        same = gram[a] == gram[b]
+        a, b = a[same], b[same]
+        if len(a):
+            r = np.minimum(agree(right, a, b), np.minimum(after[a], after[b]))
+            l = np.minimum(agree(left, a, b), np.minimum(at[a], at[b]))
+            long = r + l + GRAM >= least
+            out.append((a[long], b[long], l[long], r[long]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
 
 
-def _walk(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _found(batch: pa.RecordBatch, least: int, side: str) -> pa.RecordBatch:
+    """The matches of sorted suffixes, as ``_MATCH`` has it."""
+    gram, doc, at, after = (batch.column(c).to_numpy() for c in ("gram", "doc_id", "at", "after"))
+    a, b, l, r = matches(gram, doc, at, after, _binary(batch.column("right"), least - GRAM), _binary(batch.column("left"), least - GRAM), least, side)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[a], at[a] - l, at[a] + GRAM + r, doc[b], at[b] - l)], ["doc_id", "start", "stop", "other_id", "other_start"])
+
+
+def _edge(batch: pa.RecordBatch, last: bool) -> pa.RecordBatch:
+    """The first or last rows of a partition; if one document holds them all, also
+    the nearest of another."""
+    doc = batch.column("doc_id").to_numpy()
+    order = np.arange(len(doc))[::-1] if last else np.arange(len(doc))
+    near = order[:EDGE]
+    other = order[EDGE:][doc[order[EDGE:]] != doc[order[0]]][:1] if (doc[near] == doc[order[0]]).all() else near[:0]
+    return batch.take(pa.array(np.sort(np.concatenate([near, other]))))
+
+
+def _walk(batches: Iterator[pa.RecordBatch], least: int, side: str) -> Iterator[pa.RecordBatch]:
+    """Matches in the order of one side, and, with ``part``, the rows of a
+    partition's edges."""
     held: list[pa.RecordBatch] = []
-    reach = least - GRAM
+    names = [x.split()[0] for x in f"{_MATCH}, {_ROW}, part long, tail boolean".split(", ")]
+    kinds = [{"long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}[x.split()[1]] for x in f"{_MATCH}, {_ROW}, part long, tail boolean".split(", ")]
+    part = TaskContext.get().partitionId()
+    first = True
+
+    def filled(batch: pa.RecordBatch, **more: object) -> pa.RecordBatch:
+        n, has = batch.num_rows, batch.schema.names
+        columns = [batch.column(c).cast(k) if c in has else pa.array([more.get(c)] * n, k) for c, k in zip(names, kinds)]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def look(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal first
         whole = pa.Table.from_batches(held).combine_chunks().to_batches()
         held.clear()
         if not whole:
             return
         batch = whole[0]
-        gram, doc, at, after = (batch.column(c).to_numpy() for c in ("gram", "doc_id", "at", "after"))
-        a, b, l, r = matches(gram, doc, at, after, _binary(batch.column("right"), reach), _binary(batch.column("left"), reach), least)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[a], at[a] - l, at[a] + GRAM + r, doc[b], at[b] - l)], ["doc_id", "start", "stop", "other_id", "other_start"])
-        if not last:  # the last gram may go on; of one that fills the buffer, its end waits
-            cut = np.flatnonzero(gram[1:] != gram[:-1])
-            held.append(batch.slice(max(int(cut[-1]) + 1 if len(cut) else 0, len(gram) - BUFFER // 4)))
+        yield filled(_found(batch, least, side))
+        if first:
+            yield filled(_edge(batch, False), part=part, tail=False)
+            first = False
+        if last:
+            yield filled(_edge(batch, True), part=part, tail=True)
+            return
+        gram = batch.column("gram").to_numpy()  # the last gram may go on; of one that fills the buffer, its end waits
+        cut = np.flatnonzero(gram[1:] != gram[:-1])
+        held.append(batch.slice(min(max(int(cut[-1]) + 1 if len(cut) else 0, len(gram) - BUFFER // 4), max(len(gram) - EDGE - 1, 0))))
 
     for batch in batches:
         held.append(batch)
@@ -151,6 +189,27 @@ def _walk(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
         yield from look(True)
 
 
+def _in_order(suffixes: DataFrame, least: int, side: str) -> DataFrame:
+    """All matches between neighbours in the order of (gram, ``side``): one range
+    sort, then the rows either side of each partition's bound."""
+    spark = suffixes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["gram", side, "doc_id", "at"]
+    ordered = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    found = written(ordered.mapInArrow(lambda it: _walk(it, least, side), f"{_MATCH}, {_ROW}, part long, tail boolean"), "matches")
+    edges = found.filter("part is not null")
+    ids = sorted(r.part for r in edges.select("part").distinct().collect())  # as many as partitions
+    rank = spark.createDataFrame([(p, k) for k, p in enumerate(ids)], "part long, rank long")
+    seams = edges.join(F.broadcast(rank), "part").withColumn("seam", F.col("rank") - F.when(F.col("tail"), 0).otherwise(1))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("at", "ascending")]).combine_chunks()
+        return pa.Table.from_batches([_found(table.to_batches()[0], least, side)])
+
+    across = seams.select("seam", "doc_id", *[x.split()[0] for x in _ROW.split(", ")]).groupBy("seam").applyInArrow(run, _MATCH)
+    return found.filter("part is null").select(*across.columns).union(across)
+
+
 def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated passage of a document: ``doc_id, start_word,
     stop_word, n_words, other_id, other_start``.
@@ -163,10 +222,11 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
 
     Suffixes stay only at minimisers.  A first pass finds the grams that occur
     in two documents; a second keeps their suffixes alone, with two bytes of
-    hash for each word around, sorts them by a range sort (so a gram that very many
-    documents share is spread by its right side; the sort's sample makes the
-    suffixes once more, which costs less than to store them), compares neighbours and
-    extends each match to both sides.  Matches around the next positions take
+    hash for each word around, sorts them by two range sorts, by gram and right side
+    and by gram and left side (so a gram that very many documents share is spread
+    over partitions; each sort and its sample make the suffixes once more, which
+    costs less than to store them), compares neighbours, also across the bounds of
+    partitions, and extends each match to both sides.  Matches around the next positions take
     over where the hashes end, so passages of any length come out whole.  A
     passage that several documents share only in parts may come out through
     other neighbours than the longest.
@@ -183,10 +243,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
     shared = grams.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram")
     bits = spark.sparkContext.broadcast(_filter_bytes(shared))
     suffixes = rows.mapInArrow(lambda it: _suffixes(it, reach, bits.value), "doc_id long, gram long, at long, right binary, left binary, after long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["gram", "right", "doc_id", "at"]
-    ordered = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = ordered.mapInArrow(lambda it: _walk(it, min_words), "doc_id long, start long, stop long, other_id long, other_start long")
+    found = _in_order(suffixes, min_words, "right").union(_in_order(suffixes, min_words, "left"))
     spans = found.groupBy("doc_id", "start", "stop").agg(F.min(F.struct("other_id", "other_start")).alias("other"))
     by_doc = W.partitionBy("doc_id").orderBy("start", "stop")
     before = F.max("stop").over(by_doc.rowsBetween(W.unboundedPreceding, -1))

@@ -357,3 +357,21 @@ def test_fingerprint_finds_a_tone():
 
 def digest_bytes(x):
     return hashlib.sha256(x).hexdigest()
+
+
+def test_repeats_around_a_passage_that_very_many_share(spark):
+    rng = np.random.default_rng(3)
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    common, rows = words(30), []
+    for k in range(400):
+        rows.append((k, " ".join(words(25) + common + words(20))))
+    for k in range(20):  # 25 words of their own before the passage, other words after it
+        own = words(25)
+        rows += [(1000 + 2 * k + j, " ".join(words(5) + own + common + words(20))) for j in (0, 1)]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = repeats.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert sorted((r.doc_id, r.start_word, r.stop_word, r.other_id) for r in got) == [(k, 5, 60, k ^ 1) for k in range(1000, 1040)]
