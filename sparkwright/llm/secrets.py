@@ -20,7 +20,8 @@ _WORD = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Rules beyond the base ones.
-_PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----")
+_PEM_LINES = re.compile(r"(?:(?:\s|\\[nr])+(?:(?:Proc-Type|DEK-Info):[^\n\\]*|[A-Za-z0-9+/]{16,}={0,2}))*(?:(?:\s|\\[nr])+[A-Za-z0-9+/]+={1,2})?")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -39,7 +40,15 @@ def _hex(text: str) -> list[tuple[int, int]]:
 
 
 def _pem(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _PEM.finditer(text)] if "-----BEGIN" in text else []
+    """Each key to its END line; if none comes before the next key, to the end of
+    its base64 lines."""
+    heads = list(_PEM.finditer(text)) if "-----BEGIN" in text else []
+    out = []
+    for m, limit in zip(heads, [*(x.start() for x in heads[1:]), len(text)]):
+        end = f"-----END {m[1]}-----"
+        at = text.find(end, m.end(), limit)
+        out.append((m.start(), at + len(end) if at >= 0 else _PEM_LINES.match(text, m.end(), limit).end()))
+    return out
 
 
 def _jwt(text: str) -> list[tuple[int, int]]:
@@ -48,7 +57,7 @@ def _jwt(text: str) -> list[tuple[int, int]]:
 
 #: (kind, version) -> finder.  A changed rule gets a higher version and is then
 #: unseen for every blob.
-RULES = {("assign", 1): _assign, ("access", 1): _access, ("hex", 1): _hex, ("pem", 1): _pem, ("jwt", 1): _jwt}
+RULES = {("assign", 1): _assign, ("access", 1): _access, ("hex", 1): _hex, ("pem", 2): _pem, ("jwt", 1): _jwt}
 
 SPANS = "array<struct<start:int,stop:int>>"
 
