@@ -20,7 +20,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Python's classes agree on them with the library's; any other text is split by
 #: the library itself.
 _PLAIN = re.compile(r"[^\t\n\r -~¡«»¿À-įĲ-ž–—‘’“”…]")
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_SIGN = r"(?:[^\s\w]|_)"
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|{_SIGN}+")
 
 #: Words that a task remembers; past it the memory starts anew.
 MEMO_WORDS = 250_000
@@ -30,7 +31,7 @@ MEMO_CHARS = 64
 
 
 #: A comma or stop that is no word of its own, as more signs stand before it.
-_JOINED = re.compile(r"[!-/:-@\[-`{-~¡«»¿–—‘’“”…][,.]\s")
+_JOINED = re.compile(rf"[,.](?<={_SIGN}.)\s")
 
 
 def _chunks(text: str) -> list[str]:
