@@ -6,11 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm.exact import digest_filter, probed
-from sparkwright.llm.shared import new_path, written
+from sparkwright.llm.exact import digest_filter, may_hold, probed
+from sparkwright.llm.shared import exists, fresh, named, new_path, written
 from sparkwright.llm.text import slices, texts
 
 #: Base rules: kind, version, pattern, what a match must be like.  Offsets are
@@ -62,40 +62,55 @@ RULES = {("assign", 1): _assign, ("access", 1): _access, ("hex", 1): _hex, ("pem
 SPANS = "array<struct<start:int,stop:int>>"
 
 
+TODO = "array<struct<kind:string,version:int>>"
+
+
+def _blob(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
 class BlobLedger:
     """Which blobs (SHA-256 of a text) were scanned by which rule version, and
-    what was found.  A Parquet table in ``path``: one row per pair, findings as
-    an array of spans, empty where there were none, so that a clean blob is not
-    scanned again either."""
+    what was found.  A Parquet table in ``path``, which need not exist yet: one
+    row per pair, findings as an array of spans, empty where there were none, so
+    that a clean blob is not scanned again either."""
 
     SCHEMA = f"blob binary, kind string, version int, spans {SPANS}"
 
     def __init__(self, spark: SparkSession, path: str | None = None, rules: dict | None = None):
         self.spark, self.path, self.rules = spark, path or new_path(spark, "blob-ledger"), dict(rules or RULES)
-        self._empty = not path
+        self._empty = not path or not exists(spark, path)
 
     def read(self) -> DataFrame:
         if self._empty:
             return self.spark.createDataFrame([], self.SCHEMA)
         return self.spark.read.schema(self.SCHEMA).parquet(self.path)
 
+    def unseen(self, versions: DataFrame, text_col: str = "text") -> DataFrame:
+        """(blob, text, todo) of the versions that some rule has not seen.  Which
+        they are is found from digests alone; a filter of theirs then tells the
+        texts, so those that every rule has seen are in no shuffle, but for the
+        filter's few false hits."""
+        text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+        digested = versions.select(_blob(text).alias("blob"), text.alias("text"))
+        rules = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("version")) for k, v in self.rules]).cast(TODO)
+        if self._empty:
+            return digested.withColumn("todo", rules)
+        seen = self.read().groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("seen"))
+        todo = F.array_except(rules, F.coalesce(F.col("seen").cast(TODO), F.array().cast(TODO)))
+        left = digested.select("blob").distinct().join(seen, "blob", "left").select("blob", todo.alias("todo")).filter(F.size("todo") > 0)
+        left = written(left, "unseen")
+        return may_hold(digested, digest_filter(left.select(F.col("blob").alias("digest"))), "blob").join(left, "blob")
+
     def scan(self, versions: DataFrame, text_col: str = "text") -> DataFrame:
         """Adds the unseen pairs of blobs in ``versions`` and rules to the ledger;
         returns (blob, kind, version, spans) of the present rules' findings.
 
-        The shuffle by digest carries each distinct text once per task that read
-        it.  Blobs with nothing left to scan drop out before any text moves, if
-        the ledger knows some.
+        The shuffle by digest carries each distinct text that is to be scanned
+        once per task that read it.
         """
-        digested = versions.select(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("hex"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        digested = digested.select(F.unhex("hex").alias("blob"), "text")
         keys = list(self.rules)
-        todo = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("version")) for k, v in keys])
-        if not self._empty:
-            seen = self.read().groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("seen"))
-            digested = digested.join(seen, "blob", "left").select("blob", "text", F.array_except(todo, F.coalesce("seen", F.array().cast("array<struct<kind:string,version:int>>"))).alias("todo")).filter(F.size("todo") > 0)
-        else:
-            digested = digested.withColumn("todo", todo)
+        digested = self.unseen(versions, text_col)
         blobs = digested.groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
         rules = self.rules
 
@@ -128,17 +143,19 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are not read.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
-    findings = ledger.scan(docs.select(F.col(text_col).alias("text")))
+    findings = ledger.scan(docs.select(named(text_col).alias("text")))
     order = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, (k, _) in enumerate(ledger.rules)])
     flat = findings.select("blob", order.alias("rank"), "kind", F.explode("spans").alias("s")).select("blob", F.struct(F.col("s.start").alias("start"), "rank", "kind", F.col("s.stop").alias("stop")).alias("x"))
     by_blob = written(flat.groupBy("blob").agg(F.sort_array(F.collect_list("x")).alias("found")), "findings")
-    paths = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("blob"))
+    paths = docs.select(named(id_col).cast("long").alias("doc_id"), _blob(named(text_col)).alias("blob"))
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int>>")
     return paths.join(by_blob, "blob", "left").select("doc_id", "blob", F.coalesce("found", none).alias("found"))
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
-    """Counts of the base kinds, a digest of the base spans, all spans as text."""
+    """Counts of the base kinds, a digest of the base spans, all spans as text: one
+    row per input row, null text as empty, null ids as they are, other columns
+    not read, an empty table empty."""
     base = F.filter("found", lambda x: x.kind.isin(*BASE_KINDS))
     told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start, x.stop)), ",")
     count = lambda kind: F.size(F.filter("found", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
@@ -147,28 +164,27 @@ def secret_digests(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", ledger: BlobLedger | None = None) -> DataFrame:
     """``docs`` with every found span of ``text_col`` replaced by ``mark``;
-    overlapping spans give one mark.  All columns stay, and so do all rows; a
-    row without findings is unchanged, null text included.
+    overlapping spans give one mark.  All columns stay, whatever their names, and
+    so do all rows; a row without findings is unchanged, null text included.
 
-    Only texts whose digest may have findings, by a filter of fixed size, are
-    shuffled to meet them; a large group of copies is split by adaptive
-    execution.
+    Only texts whose digest may have findings, by a filter, are shuffled to meet
+    them; a large group of copies is split by adaptive execution.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
-    findings = ledger.scan(docs.select(F.col(text_col).alias("text")))
+    findings = ledger.scan(docs.select(named(text_col).alias("text")))
     flat = findings.select("blob", F.explode("spans").alias("s")).select("blob", F.struct("s.start", "s.stop").alias("x"))
-    by_blob = flat.groupBy("blob").agg(F.sort_array(F.collect_list("x")).alias("__found"))
+    by_blob = flat.groupBy("blob").agg(F.sort_array(F.collect_list("x")).alias("found"))
     # Spans joined where they overlap: the state is (joined spans, open start, open end).
     start = F.struct(F.array().cast(SPANS).alias("done"), F.lit(-1).alias("a"), F.lit(-1).alias("b"))
     closed = lambda s: F.when(s.a < 0, s.done).otherwise(F.concat(s.done, F.array(F.struct(s.a.alias("start"), s.b.alias("stop")))))
     step = lambda s, x: F.when((s.a >= 0) & (x.start < s.b), F.struct(s.done.alias("done"), s.a.alias("a"), F.greatest(s.b, x.stop).alias("b"))).otherwise(F.struct(closed(s).alias("done"), x.start.alias("a"), x.stop.alias("b")))
-    by_blob = written(by_blob.select("blob", F.aggregate("__found", start, step, closed).alias("__spans")), "findings")
-    text, spans = F.col(text_col), F.col("__spans")
+    blob, joined, held = fresh(docs, "blob", "spans", "held")
+    by_blob = written(by_blob.select(named("blob").alias(blob), F.aggregate("found", start, step, closed).alias(joined)), "findings")
+    text, spans = named(text_col), named(joined)
     piece = F.transform(spans, lambda x, i: F.concat(F.substring(text, F.when(i == 0, F.lit(1)).otherwise(F.get(spans, i - 1).stop + 1), x.start - F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1).stop)), F.lit(mark)))
     clean = F.concat(F.array_join(piece, ""), F.substring(text, F.get(spans, F.size(spans) - 1).stop + 1, F.length(text)))
-    columns = [F.when(spans.isNull(), text).otherwise(clean).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    held = digest_filter(by_blob.select(F.col("blob").alias("digest")))
-    rows = docs.select(F.struct("*").alias("__row"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("digest"))
-    rows = probed(rows, held, "__held")
-    hit = rows.filter("__held").join(by_blob, F.col("digest") == F.col("blob"), "left").select("__row.*", "__spans").select(*columns)
-    return rows.filter("not __held").select("__row.*").unionByName(hit)
+    filter_ = digest_filter(by_blob.select(named(blob).alias("digest")))
+    rows = probed(docs.withColumn(blob, _blob(text)), filter_, held, blob)
+    hit = rows.filter(named(held)).join(by_blob, blob, "left")
+    hit = hit.select(*[F.when(spans.isNull(), text).otherwise(clean).alias(c) if c == text_col else named(c) for c in docs.columns])
+    return rows.filter(~named(held)).select(*map(named, docs.columns)).unionByName(hit)
