@@ -12,12 +12,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkwright.llm.shared import named
 from sparkwright.llm.text import SLICE_BYTES, mixed, utf8, word_hashes, word_spans
 
 #: Words hash to so many buckets; vectors have so many dimensions, so many of
 #: them other than 0 in an index vector; neighbours within so many words count.
 BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 64, 4, 2
-#: The sample that the model is fitted on: labelled rows, by a hash of their id,
+#: Pieces in which tasks send what they count of contexts.
+PARTS = 32
+#: The sample that the network is fitted on: labelled rows, by a hash of their id,
 #: of texts up to so many characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 32_768
 HIDDEN, STEPS, THRESHOLD = 24, 400, 0.3
@@ -108,28 +111,53 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_vectors(column: pa.Array) -> np.ndarray:
-    """Random indexing: a bucket's vector is its own index vector plus the mean
-    of those of its neighbours in the sample."""
+def _contexts(column: pa.Array, sums: np.ndarray) -> None:
+    """Adds to each bucket's row of ``sums`` the index vectors of its words'
+    neighbours and, last, their number."""
     places, signs = _index_vectors(BUCKETS, 7)
-    sums, seen = np.zeros(BUCKETS * DIMS), np.zeros(BUCKETS)
+    flat, width = sums.reshape(-1), DIMS + 1
     for start, stop in _blocks(column):
         words, _, first = _words(column.slice(start, stop - start))
         text = np.repeat(np.arange(stop - start), np.diff(first))
         for d in range(1, REACH + 1):
             near = np.flatnonzero(text[d:] == text[:-d]) if len(text) > d else np.zeros(0, np.int64)
             for a, b in ((words[near], words[near + d]), (words[near + d], words[near])):
-                seen += np.bincount(a, minlength=BUCKETS)
+                flat += np.bincount(a * width + DIMS, minlength=len(flat))
                 for k in range(NONZERO):
-                    sums += np.bincount(a * DIMS + places[b, k], weights=signs[b, k], minlength=BUCKETS * DIMS)
-    around = sums.reshape(BUCKETS, DIMS) / np.maximum(seen, 1)[:, None]
-    return (_dense(places, signs) + around).astype(np.float32)
-
-
-def fitted(column: pa.Array, labels: np.ndarray, seed: int = 5) -> Model:
-    """Fits word vectors and network on a sample; a fifth of it is kept apart to
-    set the temperature.  Without rows of both classes: the share of label 1."""
-    vectors = word_vectors(column)
+                    flat += np.bincount(a * width + places[b, k], weights=signs[b, k], minlength=len(flat)).astype(np.int64)
+
+
+def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Random indexing over all documents: a bucket's vector is its own index
+    vector plus the mean of those of all its neighbours.  Each task sends its sums
+    in ``PARTS`` pieces of a fixed size, which one task for each piece adds up; the
+    driver gets one matrix, of one size whatever the corpus."""
+    rows = BUCKETS // PARTS
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((BUCKETS, DIMS + 1), np.int64)
+        for batch in batches:
+            _contexts(batch.column("text"), sums)
+        if sums.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([sums[k * rows : (k + 1) * rows].tobytes() for k in range(PARTS)], pa.binary())], ["part", "sums"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("part").to_pylist(), batch.column("sums")):
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "sums"])
+
+    sent = docs.select(named(text_col).alias("text")).mapInArrow(gathered, "part int, sums binary")
+    whole = np.zeros((BUCKETS, DIMS + 1), np.int64)
+    for r in sent.repartition("part").mapInArrow(added, "part int, sums binary").collect():  # one matrix
+        whole[r.part * rows : (r.part + 1) * rows] += np.frombuffer(r.sums, np.int64).reshape(rows, -1)
+    return (_dense(*_index_vectors(BUCKETS, 7)) + whole[:, :DIMS] / np.maximum(whole[:, DIMS:], 1)).astype(np.float32)
+
+
+def fitted(column: pa.Array, labels: np.ndarray, vectors: np.ndarray, seed: int = 5) -> Model:
+    """Fits the network on a sample; a fifth of it is kept apart to set the
+    temperature.  Without rows of both classes: the share of label 1."""
     x = pooled(column, vectors)
     rng = np.random.default_rng(seed)
     width = 2 * DIMS + 1
@@ -169,17 +197,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learnt(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
-    """Fits the model on at most ``rows`` labelled rows outside the held-out
-    fifth, taken by a hash of their id; texts over ``SAMPLE_CHARS`` characters
-    are left out of the sample (never out of the scoring)."""
-    doc_id = F.col(id_col).cast("long")
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(doc_id)).groupBy(doc_id.alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
-    known = known.orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    sample = docs.select(doc_id.alias("__id"), F.col(text_col).alias("__text")).filter(F.col("__text").isNotNull() & (F.length("__text") <= SAMPLE_CHARS))
-    sample = sample.join(F.broadcast(known), "__id").select("__id", "__text", "__label").limit(2 * rows).toArrow().combine_chunks().sort_by([("__id", "ascending"), ("__text", "ascending")])
-    column = sample.column("__text").cast(pa.large_string())
+    """Word vectors from all of ``docs``; the network is fitted on at most ``rows``
+    labelled rows outside the held-out fifth, taken by a hash of their id; texts
+    over ``SAMPLE_CHARS`` characters are left out of the sample (never out of the
+    vectors or the scoring).  Of an id with several texts the least is taken, of
+    one with several labels the greatest."""
+    doc_id, label = named(id_col).cast("long"), named(label_col)
+    known = labels.filter(label.isNotNull() & named(id_col).isNotNull() & ~held_out(doc_id)).groupBy(doc_id.alias("id")).agg(F.max(label).cast("int").alias("label"))
+    known = known.orderBy(F.xxhash64("id"), "id").limit(rows)
+    sample = docs.select(doc_id.alias("id"), named(text_col).alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    sample = sample.join(F.broadcast(known), "id").groupBy("id", "label").agg(F.min("text").alias("text")).toArrow().combine_chunks().sort_by("id")
+    column = sample.column("text").cast(pa.large_string())
     column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_string())
-    return fitted(column, sample.column("__label").to_numpy().astype(np.int64))
+    return fitted(column, sample.column("label").to_numpy().astype(np.int64), word_vectors(docs, text_col))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -193,10 +223,12 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     def score(column: pa.Array) -> pa.Array:
         return pa.array(shared.value.scores(column.fill_null("")), pa.float64())
 
-    return docs.withColumn(score_col, score(F.col(text_col)))
+    return docs.withColumn(score_col, score(named(text_col)))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per input row: ``doc_id, held_out, score, predicted``."""
+    """One row per input row: ``doc_id, held_out, score, predicted``; null and
+    empty texts have one score, null ids are held out, repeated rows are scored
+    each, other columns are not read, an empty table gives an empty result."""
     out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), learnt(docs, labels))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
