@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkwright.llm.shared import named
 from sparkwright.llm.text import slices, texts
 
 #: Samples in a frame, in a hop and in a second.
@@ -103,11 +104,12 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 longs = [pa.array(x, pa.int64()) for x in (a, b, c, e)]
                 yield pa.RecordBatch.from_arrays([*longs[:3], pa.array(d, pa.string()), longs[3], pa.array(f, pa.binary()), *arrays], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media", "frame_times", "frame_hashes"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """The media columns with digests in place of files and arrays."""
+    """The media columns with digests in place of files and arrays, on odd rows and
+    empty tables likewise."""
     pairs = F.zip_with("frame_times", "frame_hashes", lambda t, h: F.concat_ws(":", t, h))
     return media_columns(docs).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",

@@ -11,16 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkwright.llm.exact import BUCKET_BITS
-from sparkwright.llm.shared import written
+from sparkwright.llm.exact import BITS_EACH, BUCKET_BITS
+from sparkwright.llm.shared import named, written
 from sparkwright.llm.text import mixed, slices, utf8, word_hashes, word_spans
 
 #: Words of the gram that is hashed at each position; a position is kept if its
 #: gram is the least of some window of so many positions.  A match of
 #: GRAM + WINDOW - 1 words or more holds a kept position at the same place.
 GRAM, WINDOW = 10, 32
-#: Buckets of the filter of repeated grams: 2 MB whatever the input.
-FILTER_BUCKETS = 512
+#: Most buckets of the filter of repeated grams: 16 MB.
+MOST_BUCKETS = 4096
 #: Rows of the sorted suffixes that are looked at together.
 BUFFER = 1 << 16
 #: Rows either side of the bound of two partitions that are looked at together.
@@ -59,7 +59,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], reach: int, wanted: np.ndarray
                     continue
                 at, grams = kept_positions(hashes[a:b])
                 if wanted is not None:
-                    bit = (grams & np.uint64(FILTER_BUCKETS * BUCKET_BITS - 1)).astype(np.int64)
+                    bit = (grams & np.uint64(8 * len(wanted) - 1)).astype(np.int64)
                     held = (wanted[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
                     at, grams = at[held], grams[held]
                 if not len(at):
@@ -88,12 +88,14 @@ def _suffixes(batches: Iterator[pa.RecordBatch], reach: int, wanted: np.ndarray
 
 
 def _filter_bytes(grams: DataFrame) -> np.ndarray:
-    """Bits of the grams' low ends, of one size whatever the input.  A filter that
-    is full lets all suffixes through: more to sort, the same result."""
-    bit = grams.select((F.col("gram").bitwiseAND(FILTER_BUCKETS * BUCKET_BITS - 1) + 1).alias("bit"))
+    """Bits of the grams' low ends: a power of two of buckets, by their number, up
+    to ``MOST_BUCKETS``.  A filter that is full lets all suffixes through: more to
+    sort, the same result."""
+    buckets = min(MOST_BUCKETS, 1 << (grams.count() * BITS_EACH // BUCKET_BITS).bit_length())
+    bit = grams.select((F.col("gram").bitwiseAND(buckets * BUCKET_BITS - 1) + 1).alias("bit"))
     found = bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    out = np.zeros((FILTER_BUCKETS, BUCKET_BITS // 8), np.uint8)
-    for r in found:  # at most FILTER_BUCKETS rows
+    out = np.zeros((buckets, BUCKET_BITS // 8), np.uint8)
+    for r in found:  # at most MOST_BUCKETS rows
         out[r.bucket - 1] = np.frombuffer(bytes(r.bits), np.uint8)
     return out.reshape(-1)
 
@@ -238,9 +240,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
     if min_words < GRAM + WINDOW - 1:
         raise ValueError(f"min_words must be at least {GRAM + WINDOW - 1}")
     spark, reach = docs.sparkSession, min_words - GRAM
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")).filter("doc_id is not null")
     grams = rows.mapInArrow(lambda it: _suffixes(it, reach, None), "doc_id long, gram long, at long")
-    shared = grams.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram")
+    shared = written(grams.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram"), "grams")
     bits = spark.sparkContext.broadcast(_filter_bytes(shared))
     suffixes = rows.mapInArrow(lambda it: _suffixes(it, reach, bits.value), "doc_id long, gram long, at long, right binary, left binary, after long")
     found = _in_order(suffixes, min_words, "right").union(_in_order(suffixes, min_words, "left"))
