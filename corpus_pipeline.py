@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.llm import lines, neardup, packing, quality, secrets
-from sparkwright.llm.shared import written
+from sparkwright.llm.shared import fresh, written
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -26,10 +26,12 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the classifier rejects (a score below 0.3)."""
+    """Drops what the classifier rejects (a score below 0.3).  Null and empty texts
+    are scored alike; rows of a repeated id are scored each; an empty table stays
+    empty."""
     model = quality.learnt(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = quality.scored(docs, model, score_col="__score").filter(F.col("__score") >= quality.THRESHOLD)
-    return kept.drop("__score")
+    (score,) = fresh(docs, "score")
+    return quality.scored(docs, model, score_col=score).filter(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
