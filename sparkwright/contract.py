@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -9,7 +10,8 @@ from pyspark.sql import types as T
 STRING, INTEGER, DECIMAL, DATE, BOOLEAN = "string", "integer", "decimal", "date", "boolean"
 SYSTEM_COLUMNS = ("row_uuid", "row_number")
 
-# The canonical names.
+# Columns that may be mapped without force, and the canonical names.
+MAPPABLE_COLUMNS = ("department", "account_name", "category", "type", "status")
 CANONICAL_DEPARTMENTS = ("Sales", "Operations", "Admin", "IT", "Finance", "Marketing", "HR", "Legal", "Engineering", "Support")
 CANONICAL_ACCOUNTS = ("Cash", "Accounts Receivable", "Accounts Payable", "Sales Revenue", "Cost of Goods Sold", "Operating Expenses", "Equipment", "Inventory", "Retained Earnings")
 
@@ -75,6 +77,8 @@ class RunOptions:
     they guarded a single machine."""
 
     use_inferred: bool = False
+    acknowledge_experimental: bool = False
+    force_map_columns: bool = False
     dry_run: bool = False
     map_columns: tuple[str, ...] = ("Department", "Account Name")
     edit_cap_pct: float = 20.0
@@ -85,6 +89,16 @@ class RunOptions:
     log_all_numbers: bool = False
     empty_is_null: bool = False
 
+    def problem(self) -> str | None:
+        """Why the options may not be used together, if so: an inferred contract
+        must be acknowledged, and columns that are not usually mapped be forced."""
+        if self.use_inferred and not self.acknowledge_experimental:
+            return "an inferred contract is experimental: set acknowledge_experimental"
+        odd = [c for c in self.map_columns if re.sub(r"[\s-]+", "_", c.strip().lower()) not in MAPPABLE_COLUMNS]
+        if odd and not self.force_map_columns:
+            return f"columns that are not usually mapped: {', '.join(odd)}; set force_map_columns"
+        return None
+
 
 def ledger_contract() -> TableContract:
     """The ten ledger columns; nothing required, no rule across columns."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.contract import BOOLEAN, DATE, DECIMAL, INTEGER, TableContract
 from sparkwright.functions import amounts, dates, identifiers
+from sparkwright.functions.memo import remembered
 from sparkwright.functions.strings import stripped
 
 ERRORS = "__errors"
@@ -18,7 +19,7 @@ MAPPED_LATER = ("Department", "Account Name")
 #: Places of the checks across columns behind those of the columns.
 XOR, FORMAT, MISSING, DUPLICATE, UNIQUE = 100_000, 100_001, 100_002, 100_003, 100_004
 
-# Categories.
+# Categories, and below the texts of the messages.
 VALIDATION, PARSE, CONTRACT, CONFIDENCE, CAP = "validation_failure", "parse_error", "llm_contract_failure", "low_confidence", "edit_cap_exceeded"
 
 
@@ -43,7 +44,8 @@ def positive(c: Column) -> Column:
     return F.coalesce(amounts.parsed(c) > 0, F.lit(False))
 
 
-def cell_errors(names: list[str], contract: TableContract, extra: bool = False, empty_is_null: bool = False) -> list[Column]:
+@remembered
+def cell_errors(names: tuple[str, ...], contract: TableContract, extra: bool, empty_is_null: bool) -> list[Column]:
     """Errors of single cells and of absent columns, in contract order.  ``extra``
     adds the checks of bounds, which are off by default."""
     out = []
@@ -85,33 +87,43 @@ def cell_errors(names: list[str], contract: TableContract, extra: bool = False,
     return out
 
 
+def key_counts(df: DataFrame) -> DataFrame:
+    """(__key, __n): rows of each valid identifier; all others, counted in each
+    task before the shuffle, are one row with an empty key.  Both facts about
+    identifiers come from it; without a null or a filter below the aggregation,
+    Spark sees one exchange in both and runs it once."""
+    key = F.col(f"`{KEY}`")
+    named = F.coalesce(F.when(identifiers.is_transaction_id(key), key), F.lit(""))
+    return df.groupBy(named.alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
+
+
 def majority_has_keys(df: DataFrame) -> DataFrame:
     """One row: whether more than half of all rows have a valid identifier."""
-    return df.agg((2 * F.count_if(identifiers.is_transaction_id(F.col(f"`{KEY}`"))) > F.count(F.lit(1))).alias("__majority"))
+    valid = F.sum(F.when(F.col("__key") != "", F.col("__n")).otherwise(0))
+    return key_counts(df).agg((2 * F.coalesce(valid, F.lit(0)) > F.coalesce(F.sum("__n"), F.lit(0))).alias("__majority"))
 
 
 def repeated_keys(df: DataFrame) -> DataFrame:
-    """Valid identifiers of more than one row.  Null and invalid ones, which
-    would all meet in one task, are left out before the shuffle."""
-    key = F.col(f"`{KEY}`")
-    return df.filter(identifiers.is_transaction_id(key)).groupBy(key.alias("__key")).count().filter("count > 1").select("__key")
+    """Valid identifiers of more than one row."""
+    return key_counts(df).filter("__n > 1 and __key <> ''").select("__key")
 
 
 def check(df: DataFrame, contract: TableContract, extra: bool = False, empty_is_null: bool = False) -> DataFrame:
     """``df`` with all errors of each row in ``__errors``, in the order of the checks."""
-    cells = cell_errors(df.columns, contract, extra, empty_is_null)
+    cells = cell_errors(tuple(df.columns), contract, extra, empty_is_null)
     found = F.filter(F.array(*cells), lambda x: x.isNotNull()) if cells else F.array()
     out = df.withColumn(ERRORS, found.cast(ERROR))
     if KEY in df.columns:
         key = F.col(f"`{KEY}`")
-        repeated = repeated_keys(df)
-        out = out.join(repeated, key == F.col("__key"), "left").crossJoin(F.broadcast(majority_has_keys(df)))  # one row
         valid = identifiers.is_transaction_id(key)
+        often = key_counts(df).filter("__n > 1")
+        own = F.coalesce(F.when(valid, key), F.concat(F.lit("#"), F.xxhash64(*map(F.col, [c for c in ("row_number", "row_uuid") if c in df.columns] or [f"`{KEY}`"])).cast("string")))  # spread where there is none
+        out = out.join(often, own == F.col("__key"), "left").crossJoin(F.broadcast(majority_has_keys(df)))  # one row
         more = F.array(
             F.when(F.col("__majority") & ~valid, _error(MISSING, KEY, F.lit(None), "missing_primary_key", "Transaction ID is missing (required when majority have it)")),
-            F.when(F.col("__majority") & F.col("__key").isNotNull(), _error(DUPLICATE, KEY, key, "duplicate_primary_key", F.concat(F.lit("Duplicate Transaction ID: "), key))),
+            F.when(F.col("__majority") & valid & F.col("__key").isNotNull(), _error(DUPLICATE, KEY, key, "duplicate_primary_key", F.concat(F.lit("Duplicate Transaction ID: "), key))),
         )
-        out = out.withColumn(ERRORS, F.concat(F.col(ERRORS), F.filter(more, lambda x: x.isNotNull()).cast(ERROR))).drop("__key", "__majority")
+        out = out.withColumn(ERRORS, F.concat(F.col(ERRORS), F.filter(more, lambda x: x.isNotNull()).cast(ERROR))).drop("__key", "__n", "__majority")
     for k, columns in enumerate(contract.unique if extra else ()):
         n = F.count(F.lit(1)).over(W.partitionBy(*[F.col(f"`{c}`") for c in columns]))
         error = _error(UNIQUE + k, "/".join(columns), F.concat_ws("|", *[F.col(f"`{c}`") for c in columns]), "unique_violation", f"Repeated {'/'.join(columns)}")

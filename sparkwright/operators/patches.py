@@ -30,12 +30,18 @@ def outcomes(df: DataFrame, patches: DataFrame, columns: list[str], floor: float
     return joined.select(*patches.columns, current.alias("current"), outcome.alias("outcome"))
 
 
-def apply_patches(df: DataFrame, decided: DataFrame, columns: list[str]) -> DataFrame:
-    """``df`` with applied patches in place; of two for one cell the greater
-    confidence counts, then the greater value."""
+def with_patches(df: DataFrame, decided: DataFrame) -> DataFrame:
+    """Every row of ``df`` with its applied patches in ``__patch``, column -> value,
+    null where it has none; of two for one cell the greater confidence counts, then
+    the greater value."""
     best = decided.filter(F.col("outcome") == APPLIED).groupBy("row_number", "column").agg(F.max(F.struct("confidence", "after")).alias("x"))
     by_row = best.groupBy("row_number").agg(F.map_from_entries(F.collect_list(F.struct("column", "x.after"))).alias("__patch"))
-    joined = df.join(by_row, "row_number", "left")
+    return df.join(by_row, "row_number", "left")
+
+
+def apply_patches(df: DataFrame, decided: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with applied patches in place."""
+    joined = with_patches(df, decided)
     value = lambda c: F.when(F.array_contains(F.map_keys("__patch"), c), F.try_element_at("__patch", F.lit(c))).otherwise(F.col(f"`{c}`")).alias(c)
     return joined.select(*[value(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
 

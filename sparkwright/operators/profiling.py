@@ -104,6 +104,12 @@ def canonical_name(name: str) -> str:
     return re.sub(r"_+", "_", name).strip("_")
 
 
+def canonical_names(c: Column) -> Column:
+    """``canonical_name`` over a column of names."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"(?U)[^\w\s]", ""), r"(?U)\s+", "_")
+    return F.btrim(F.regexp_replace(F.lower(F.regexp_replace(bare, "([a-z])([A-Z])", "$1_$2")), "_+", "_"), F.lit("_"))
+
+
 def inferred_contract(df: DataFrame, sample: int = 1000) -> TableContract:
     """A contract from the head sample.  The driver sees a few facts per column."""
     columns = data_columns(df)

@@ -60,13 +60,23 @@ def validation_summary(errors: DataFrame, category: Column) -> DataFrame:
     return names.join(n, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-# Words of a message, in order, and what they stand for.
+def first_rows(rows: DataFrame, by: str, k: int) -> DataFrame:
+    """(by, examples): the first ``k`` distinct row numbers of each value, as text.
+    The first of each of 64 parts come first, so no task sees all rows of one."""
+    part = W.partitionBy(by, F.pmod(F.xxhash64("row_number"), F.lit(64))).orderBy("row_number")
+    firsts = rows.select(by, "row_number").distinct().withColumn("place", F.row_number().over(part)).filter(F.col("place") <= k)
+    firsts = firsts.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy("row_number"))).filter(F.col("place") <= k)
+    return firsts.groupBy(by).agg(F.array_join(F.sort_array(F.collect_list("row_number")).cast("array<string>"), ",").alias("examples"))
+
+
+# Words of a message, in order, and the names and priorities of the
+# issues; the advice is free text.
 REMEDIES = (
-    (("required",), "Missing Required Fields", "High", "Review source data for completeness. Consider data enrichment or default values."),
-    (("type",), "Data Type Mismatches", "Medium", "Implement additional data cleaning rules or adjust schema expectations."),
-    (("debit", "credit"), "Business Rule Violations", "High", "Review debit/credit entries for accounting accuracy. May require manual correction."),
-    (("confidence",), "Low Confidence Mappings", "Low", "Review and manually verify mappings. Consider adding to canonical lists."),
-    (("duplicate",), "Duplicate Transaction IDs", "High", "Investigate duplicate entries. May indicate data quality issues at source."),
+    (("required",), "Missing Required Fields", "High", "Ask the source for the empty fields, or agree on a value that stands for them."),
+    (("type",), "Data Type Mismatches", "Medium", "Add a rule that turns these values into the column's type, or give the column another type."),
+    (("debit", "credit"), "Business Rule Violations", "High", "Have a bookkeeper decide which side each of these amounts belongs to."),
+    (("confidence",), "Low Confidence Mappings", "Low", "Confirm the mappings by hand and put the right ones into the dictionary."),
+    (("duplicate",), "Duplicate Transaction IDs", "High", "Find out whether the export repeats rows or two entries share a number."),
 )
 
 
@@ -84,11 +94,7 @@ def remediation_report(errors: DataFrame, examples: int = 5) -> DataFrame:
     counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("affected_rows"))
     spark = errors.sparkSession
     said = spark.createDataFrame([(k, r[1], r[2], r[3]) for k, r in enumerate(REMEDIES)], "k int, issue string, priority string, recommendation string")
-    # The first rows of each issue: of each of 64 parts first, so no task sees all rows of one.
-    part = W.partitionBy("k", F.pmod(F.xxhash64("row_number"), F.lit(64))).orderBy("row_number")
-    firsts = rows.withColumn("place", F.row_number().over(part)).filter(F.col("place") <= examples)
-    firsts = firsts.withColumn("place", F.row_number().over(W.partitionBy("k").orderBy("row_number"))).filter(F.col("place") <= examples)
-    shown = firsts.groupBy("k").agg(F.array_join(F.sort_array(F.collect_list("row_number")).cast("array<string>"), ",").alias("example_rows"))
+    shown = first_rows(rows, "k", examples).withColumnRenamed("examples", "example_rows")
     return counts.join(F.broadcast(said), "k").join(F.broadcast(shown), "k").select("issue", "affected_rows", "priority", "recommendation", "example_rows")  # five rows
 
 

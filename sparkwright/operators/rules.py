@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.contract import STRING, SYSTEM_COLUMNS, TableContract
 from sparkwright.functions import amounts, dates, identifiers, strings
+from sparkwright.functions.memo import remembered
 
 CHANGES = "__changes"
 CHANGE = "array<struct<ord:int,column:string,before:string,after:string,rule_id:string,reason:string>>"
@@ -163,24 +164,31 @@ class _Fold:
                 self.now[name] = self.put(step + 1, value), step + 1
 
 
+@remembered
+def folded(names: tuple[str, ...], contract: TableContract, rules: tuple[Rule | str, ...], log_all_numbers: bool) -> tuple[list[dict[str, Column]], dict[str, Column], Column]:
+    """The projections of all rules, the final value of each column, the log."""
+    fold = _Fold(list(names))
+    for order, rule in enumerate(rules):
+        if rule == "sign_fix":
+            fold.sign_fix(order)
+        elif columns := rule.columns(list(names), contract):
+            fold.rule(order, rule, columns, log_all_numbers)
+    log = F.concat(*fold.log) if fold.log else _none()
+    return fold.steps, {n: c.alias(n) for n, (c, _) in fold.now.items()}, log.alias(CHANGES)
+
+
 def apply_rules(df: DataFrame, contract: TableContract, rules: tuple[Rule | str, ...] = RULES, log_all_numbers: bool = False) -> DataFrame:
     """``df`` with its values normalised and its changes in ``__changes``.
 
     A few projections, without shuffle, UDF or second pass.  Two rules work on
     the account column: where the dictionary has the value, only the first counts.
     """
-    names = [c for c in df.columns if c not in SYSTEM_COLUMNS and c != CHANGES]
-    fold = _Fold(names)
-    for order, rule in enumerate(rules):
-        if rule == "sign_fix":
-            fold.sign_fix(order)
-        elif columns := rule.columns(names, contract):
-            fold.rule(order, rule, columns, log_all_numbers)
+    names = tuple(c for c in df.columns if c not in SYSTEM_COLUMNS and c != CHANGES)
+    steps, now, log = folded(names, contract, rules, log_all_numbers)
     columns = [c for c in df.columns if c != CHANGES]
-    for step in fold.steps:
+    for step in steps:
         df = df.withColumns(step)
-    log = F.concat(*fold.log) if fold.log else _none()
-    return df.select(*[fold.now[c][0].alias(c) if c in fold.now else F.col(f"`{c}`") for c in columns], log.alias(CHANGES))
+    return df.select(*[now.get(c) if c in now else F.col(f"`{c}`") for c in columns], log)
 
 
 def change_log(ruled: DataFrame, source: str = "rule") -> DataFrame:

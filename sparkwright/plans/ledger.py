@@ -25,6 +25,7 @@ class RunResult:
     ruled: DataFrame
     checked: DataFrame
     mapped: DataFrame | None
+    source: str | None = None
 
     @property
     def valid(self) -> DataFrame:
@@ -57,20 +58,27 @@ class RunResult:
         self.ruled.unpersist()
 
 
-def run(source: DataFrame | str, contract: TableContract | None = None, options: RunOptions = RunOptions(), spark: SparkSession | None = None, mapper: residual.Mapper | None = None, dictionary: DataFrame | None = None, run_id: str = "run") -> RunResult:
+def run(source: DataFrame | str, contract: TableContract | None = None, options: RunOptions = RunOptions(), spark: SparkSession | None = None, mapper: residual.Mapper | None = None, dictionary: DataFrame | None = None, run_id: str = "run", persist: bool = True) -> RunResult:
     """Cleans a table (text columns, ``row_uuid``, ``row_number``) or a file.
 
     Values the rules leave outside the canonical lists come from the
     ``dictionary`` (newest version), then from ``mapper`` if one is given (the
     offline one is ``residual.map_by_rules``); both respect the edit cap and the
-    confidence floor.  ``dry_run`` plans the mapping and applies none.
+    confidence floor.  ``dry_run`` plans the mapping and applies none.  With
+    ``persist``, the rules and the checks run once for all results of the run,
+    until it is closed; without, nothing is kept.
     """
+    if problem := options.problem():
+        raise ValueError(problem)
+    keep = (lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)) if persist else (lambda df: df)
+    origin = source if isinstance(source, str) else None
     if isinstance(source, str):
         source = read_table(spark or SparkSession.getActiveSession(), source, contract, options)
     if options.use_inferred:
         contract = profiling.inferred_contract(source)
     contract = contract or ledger_contract()
-    ruled = apply_rules(source, contract, log_all_numbers=options.log_all_numbers).persist(StorageLevel.MEMORY_AND_DISK)
+    ruled = apply_rules(source, contract, log_all_numbers=options.log_all_numbers)
+    ruled = keep(ruled)
     final, mapped = ruled, None
     columns = tuple(c for c in options.map_columns if c in source.columns and contract.canonical(c))
     if columns and (mapper or dictionary is not None):
@@ -87,6 +95,6 @@ def run(source: DataFrame | str, contract: TableContract | None = None, options:
             mapped = mapped.unionByName(p)
         if not options.dry_run:
             final = residual.apply_mappings(ruled, mapped, columns)
-    checked = checks.check(final, contract, empty_is_null=options.empty_is_null).persist(StorageLevel.MEMORY_AND_DISK)
+    checked = keep(checks.check(final, contract, empty_is_null=options.empty_is_null))
     key = idempotency_key([contract.version, run_id, repr(options)])
-    return RunResult(run_id, key, options, ruled, checked, mapped)
+    return RunResult(run_id, key, options, ruled, checked, mapped, origin)

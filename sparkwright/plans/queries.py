@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.contract import ledger_contract
 from sparkwright.functions import amounts, dates, identifiers
-from sparkwright.operators import checks, mapping, patches, profiling, reports, residual
+from sparkwright.operators import checks, mapping, patches, profiling, registry, reports, residual
 from sparkwright.operators.rules import DEPARTMENTS, apply_rules, change_log, rules_summary
 from sparkwright.plans import ledger, oracle
 from sparkwright.plans.fixture import COLUMNS, messy_ledger, strict_contract
@@ -76,14 +76,19 @@ def _csv(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-@query()
+_READ = with_("f AS (" + oracle.SQL.format(orders="orders") + ")") + "SELECT " + ", ".join(f"nullif(trim({c}), '') AS {c}" for c in COLUMNS) + " FROM f"
+
+
+@query(_READ)
 def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _short(tabular.read_table(spark, _csv(spark, sf_dir), ledger_contract()))
+    """A file written and read again: its writer trims values.  The order of rows,
+    and so their numbers, is the writer's."""
+    return _short(tabular.read_table(spark, _csv(spark, sf_dir), ledger_contract())).drop("row_uuid", "row_number")
 
 
-@query()
+@query(_READ)
 def scan_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _short(tabular.read_table(spark, _csv(spark, sf_dir), ledger_contract(), lenient=True))
+    return _short(tabular.read_table(spark, _csv(spark, sf_dir), ledger_contract(), lenient=True)).drop("row_uuid", "row_number")
 
 
 @query()
@@ -151,10 +156,11 @@ def infer_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messy_ledger(spark, sf_dir).select("row_number", c.alias("date"), F.coalesce(profiling.is_plain_date(c), F.lit(False)).alias("is_date"))
 
 
-@query("SELECT * FROM (VALUES ('Transaction ID', 'transaction_id'), ('accountName', 'account_name'), ('Debit  Amount ($)', 'debit_amount'), ('__x-y__', 'xy')) AS t(name, canonical)")
+@query(r"""SELECT p_partkey::BIGINT AS id, trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(n, '[^\w\s]', '', 'g'), '\s+', '_', 'g'), '([a-z])([A-Z])', '\1_\2', 'g')), '_+', '_', 'g'), '_') AS canonical
+    FROM (SELECT p_partkey, '__' || p_name || '  ($)' || p_brand || p_type AS n FROM part)""")
 def canonical_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["Transaction ID", "accountName", "Debit  Amount ($)", "__x-y__"]
-    return spark.createDataFrame([(n, profiling.canonical_name(n)) for n in names], "name string, canonical string")
+    name = F.concat(F.lit("__"), "p_name", F.lit("  ($)"), "p_brand", "p_type")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("id"), profiling.canonical_names(name).alias("canonical"))
 
 
 @query(with_(_HEAD, _LONG) + """SELECT "column", count(DISTINCT value) = count(*) AS unique_values FROM v GROUP BY 1""")
@@ -162,7 +168,17 @@ def detect_primary_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.inferred_facts(messy_ledger(spark, sf_dir)).select("column", (F.col("n_distinct") == F.col("n_rows")).alias("unique_values"))
 
 
-@query()
+@query("SELECT unnest(['txn_id', 'dept', 'user']) AS original, unnest(['Transaction ID', 'Department', 'Created By']) AS header, 64::BIGINT AS hash_length, (SELECT count(*) FROM orders) AS n_rows")
+def ingest_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headers of a file and what they become, beside its hash and rows."""
+    path = f"{sinks.scratch(spark)}/in"
+    messy_ledger(spark, sf_dir).select(F.col("Transaction ID").alias("txn_id"), F.col("Department").alias("dept"), F.col("Created By").alias("user")).write.option("header", True).csv(path)
+    out = tabular.ingest(spark, path)
+    headers = spark.createDataFrame([(k, v, len(out.fingerprint)) for k, v in out.headers.items()], "original string, header string, hash_length long")
+    return headers.crossJoin(F.broadcast(out.table.agg(F.count(F.lit(1)).alias("n_rows"))))  # one row
+
+
+@query("SELECT unnest(['Transaction ID', 'Date', 'Account Code', 'Account Name', 'Description', 'Debit Amount', 'Credit Amount', 'Department', 'Reference Number', 'Created By']) AS name, unnest(['string', 'string', 'string', 'string', 'string', 'decimal', 'decimal', 'string', 'string', 'string']) AS type, unnest([true, true, true, false, false, false, false, true, true, true]) AS required, false AS primary_key, NULL::VARCHAR AS pattern")
 def infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     contract = profiling.inferred_contract(messy_ledger(spark, sf_dir))
     return spark.createDataFrame([(c.name, c.type, c.required, c.pattern, c.primary_key) for c in contract.columns], "name string, type string, required boolean, pattern string, primary_key boolean")
@@ -318,9 +334,13 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual.residuals(_ruled(spark, sf_dir), ledger_contract(), MAP_COLUMNS)
 
 
-def _counts(spark: SparkSession, sf_dir: str, cap: float = 35.0) -> DataFrame:
+def _facts(spark: SparkSession, sf_dir: str, cap: float = 35.0) -> tuple[DataFrame, DataFrame]:
+    return residual.residual_facts(_ruled(spark, sf_dir), ledger_contract(), MAP_COLUMNS, cap)
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _ruled(spark, sf_dir)
-    return residual.edit_counts(residual.residuals(df, ledger_contract(), MAP_COLUMNS), df.agg(F.count(F.lit(1)).alias("n_all")), cap)
+    return residual.edit_counts(residual.residuals(df, ledger_contract(), MAP_COLUMNS), df.agg(F.count(F.lit(1)).alias("n_all")), 35.0)
 
 
 @query(with_(STAGES, RESIDUAL) + "SELECT \"column\", value, n_rows, first_row FROM r")
@@ -362,9 +382,13 @@ def edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(spark, sf_dir).select("column", "affected", F.round("share_pct", 6).alias("share_pct"))
 
 
-@query(with_(STAGES, RESIDUAL, _COUNTS) + "SELECT r.\"column\", value FROM r JOIN counts USING (\"column\") WHERE NOT over_cap")
+#: A cap that one of the two columns passes.
+CAP = 41.0
+
+
+@query(with_(STAGES, RESIDUAL, _COUNTS.replace("> 35 AS", f"> {CAP} AS")) + "SELECT r.\"column\", value FROM r JOIN counts USING (\"column\") WHERE NOT over_cap")
 def edit_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residual.under_cap(_found(spark, sf_dir), _counts(spark, sf_dir)).select("column", "value")
+    return residual.under_cap(*_facts(spark, sf_dir, CAP)).select("column", "value")
 
 
 _BATCH = "SELECT \"column\", value, floor((row_number() OVER (PARTITION BY \"column\" ORDER BY first_row, value) - 1) / 2)::BIGINT AS batch_id FROM r"
@@ -375,14 +399,23 @@ def batching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual.batched(_found(spark, sf_dir), 2).select("column", "value", "batch_id")
 
 
-QUERIES["win_batch_id"], ORACLES["win_batch_id"] = batching, ORACLES["batching"]
+@query("SELECT \"column\", value, floor((row_number() OVER (PARTITION BY \"column\" ORDER BY first_row, value) - 1) / 15)::BIGINT AS batch_id FROM (SELECT 'clerk ' || (o_custkey % 3) AS \"column\", o_custkey::VARCHAR AS value, min(o_orderkey)::BIGINT AS first_row FROM orders GROUP BY 1, 2)")
+def win_batch_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 15 over many distinct values."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    found = o.groupBy(F.concat(F.lit("clerk "), (F.col("o_custkey") % 3).cast("string")).alias("column"), F.col("o_custkey").cast("string").alias("value"))
+    return residual.batched(found.agg(F.min("o_orderkey").cast("long").alias("first_row")), 15).select("column", "value", "batch_id")
 
 
 def _offline(column: str, values: list[str], names: list[str]) -> dict[str, str | None]:
     return {v: next((n for n in names if n.lower()[:4] in v.lower()), None) for v in values}
 
 
-@query()
+_NAMES = {c: v.strip("()").replace("'", "").split(",") for c, v in oracle._CANON.items()}
+_FIRST = " ".join(f"WHEN \"column\" = '{c}' AND contains(lower(value), '{n.lower()[:4]}') THEN '{n}'" for c, names in _NAMES.items() for n in names)
+
+
+@query(with_(STAGES, RESIDUAL) + f"SELECT \"column\", value, CASE {_FIRST} END AS mapped FROM r")
 def external_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual.map_values(residual.batched(_found(spark, sf_dir), 15), ledger_contract(), _offline)
 
@@ -413,8 +446,7 @@ def contract_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mapped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    maps = residual.accepted(residual.map_by_rules(_found(spark, sf_dir)), 0.8).withColumn("source", F.lit("mapper"))
-    return residual.apply_mappings(_ruled(spark, sf_dir), maps, MAP_COLUMNS)
+    return residual.map_in_place(_ruled(spark, sf_dir), ledger_contract(), MAP_COLUMNS)
 
 
 _APPLIED = f"SELECT s.row_number, coalesce(d.mapped, dept) AS dept, coalesce(a.mapped, acct) AS acct FROM {LAST} s LEFT JOIN m d ON d.\"column\" = 'Department' AND d.value = s.dept LEFT JOIN m a ON a.\"column\" = 'Account Name' AND a.value = s.acct"
@@ -425,13 +457,43 @@ def apply_value_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(_mapped_rows(spark, sf_dir)).select("row_number", "dept", "acct")
 
 
-for _name in ("mapping_apply_pipeline", "mapping_apply_skip_null"):
-    QUERIES[_name], ORACLES[_name] = apply_value_mapping, ORACLES["apply_value_mapping"]
+@query(with_(STAGES, RESIDUAL, MAPPED) + "SELECT c.row_number, c.\"column\", c.value AS before, m.mapped AS after FROM cells c JOIN m ON m.\"column\" = c.\"column\" AND m.value = c.value WHERE mapped IS NOT NULL")
+def mapping_apply_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All answers of the mapper, whatever their confidence: the cells they fix."""
+    return change_log(_mapped_rows(spark, sf_dir)).filter("ord >= 10000").select("row_number", "column", "before", "after")
+
 
+_CACHED = "k AS (SELECT 'Account Name' AS \"column\", 'Petty Cash' AS value, 'Cash' AS mapped, 'cache' AS source UNION ALL SELECT \"column\", value, mapped, 'mapper' FROM m WHERE mapped IS NOT NULL AND CASE \"column\" WHEN 'Department' THEN 0.9 ELSE 0.7 END >= 0.8)"
 
-@query(with_(STAGES, RESIDUAL, MAPPED) + "SELECT c.row_number, c.\"column\", c.value AS before, m.mapped AS after, 'mapper' AS source FROM cells c JOIN m ON m.\"column\" = c.\"column\" AND m.value = c.value WHERE mapped IS NOT NULL")
+
+@query(with_(STAGES, RESIDUAL, MAPPED, _CACHED) + "SELECT c.row_number, c.\"column\", c.value AS before, k.mapped AS after, k.source FROM cells c JOIN k ON k.\"column\" = c.\"column\" AND k.value = c.value")
 def mapping_apply_planner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return change_log(_mapped_rows(spark, sf_dir)).filter("ord >= 10000").select("row_number", "column", "before", "after", F.col("rule_id").alias("source"))
+    """Cache hits, and answers whose confidence reaches the floor, by a join."""
+    found = _found(spark, sf_dir)
+    sure = residual.map_by_rules(found).withColumn("confidence", F.when(F.col("column") == "Department", 0.9).otherwise(0.7))
+    cached = spark.createDataFrame([("Account Name", "Petty Cash", "Cash", "cache")], "column string, value string, mapped string, source string")
+    maps = residual.accepted(sure, 0.8).select("column", "value", "mapped", F.lit("mapper").alias("source")).unionByName(cached)
+    out = residual.apply_mappings(_ruled(spark, sf_dir), maps, MAP_COLUMNS)
+    return change_log(out).filter("ord >= 10000").select("row_number", "column", "before", "after", F.col("rule_id").alias("source"))
+
+
+@query(with_(STAGES, RESIDUAL, MAPPED) + "SELECT \"column\", count(*) AS attempted, coalesce(sum(n_rows) FILTER (WHERE mapped IS NOT NULL), 0)::BIGINT AS fixed, count_if(mapped IS NULL)::BIGINT AS errors FROM m GROUP BY 1")
+def mapping_apply_skip_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null targets are skipped: what was asked for, fixed and left."""
+    found = _found(spark, sf_dir)
+    return residual.mapping_attempts(residual.map_by_rules(found.select("column", "value", "n_rows"), "n_rows"))
+
+
+@query("SELECT o_orderkey::BIGINT AS id, CASE WHEN o_orderkey % 5 < 2 THEN o_orderkey % 5 ELSE 0 END::BIGINT AS n_kept FROM orders")
+def prompt_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with one good item, no item, a confidence over 1, a target that is
+    not canonical, and no reason."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k = F.col("o_orderkey") % 5
+    item = F.struct(F.col("o_orderpriority").alias("value"), F.when(k == 3, "Nowhere").otherwise("Sales").alias("mapped"), F.when(k == 2, 1.5).otherwise(0.9).alias("confidence"), F.when(k != 4, "said").alias("reason"))
+    text = F.when(k == 0, "no json").otherwise(F.to_json(F.array(item)))
+    kept = residual.checked_answers(text, ledger_contract().canonical("Department"))
+    return o.select(F.col("o_orderkey").cast("long").alias("id"), F.size(kept).cast("long").alias("n_kept"))
 
 
 @query(with_(STAGES, LOG, RESIDUAL, MAPPED) + "SELECT \"column\", count(*) AS n FROM (SELECT \"column\" FROM log UNION ALL SELECT c.\"column\" FROM cells c JOIN m ON m.\"column\" = c.\"column\" AND m.value = c.value WHERE mapped IS NOT NULL) GROUP BY 1")
@@ -441,7 +503,7 @@ def bag_append_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(STAGES, RESIDUAL, _COUNTS) + ", p AS (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY first_row, value) AS place FROM r) SELECT p.\"column\", count(*) AS n_values, sum(n_rows)::BIGINT AS n_rows, string_agg(value, '; ' ORDER BY place) FILTER (WHERE place <= 5) AS examples, any_value(over_cap) AS over_cap FROM p JOIN counts USING (\"column\") GROUP BY 1")
 def planner_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residual.planner_summary(_found(spark, sf_dir), _counts(spark, sf_dir))
+    return residual.planner_summary(*_facts(spark, sf_dir))
 
 
 @query(with_(_F) + f"SELECT row_number, coalesce({oracle._dictionary('trim(dept)', DEPARTMENTS)}, trim(dept)) AS department FROM f")
@@ -542,7 +604,7 @@ def cache_hit_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.agg(F.round(reports.hit_ratio(F.count("mapped"), F.count_if(F.col("mapped").isNull())), 6).alias("ratio"))
 
 
-@query()
+@query(with_(_V, _NOW) + "SELECT variant_value, model_id, canonical_value FROM now")
 def cache_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sinks.scratch(spark)}/dictionary"
     _versions(spark, sf_dir).write.mode("append").parquet(path)
@@ -586,7 +648,12 @@ def patch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_number", F.col("Department").alias("dept"))
 
 
-QUERIES["join_patches"], ORACLES["join_patches"] = patch_apply, ORACLES["patch_apply"]
+@query(with_(STAGES, _P, _OUT) + f"SELECT s.row_number, s.dept AS value, CASE WHEN o.outcome = 'applied' THEN o.after END AS patch, (o.outcome = 'applied') IS TRUE AS patched FROM {LAST} s LEFT JOIN o USING (row_number)")
+def join_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row beside its patch, if it has one that counts."""
+    out = patches.with_patches(_ruled(spark, sf_dir), _decided(spark, sf_dir))
+    patch = F.try_element_at("__patch", F.lit("Department"))
+    return out.select("row_number", F.col("Department").alias("value"), patch.alias("patch"), patch.isNotNull().alias("patched"))
 
 
 @query(with_(STAGES, _P, _OUT) + "SELECT count(*) AS total, count_if(outcome = 'applied')::BIGINT AS applied, count_if(outcome = 'low_confidence')::BIGINT AS skipped_confidence, count_if(outcome = 'precondition_failed')::BIGINT AS skipped_precondition, count_if(outcome IN ('not_found', 'column_missing'))::BIGINT AS skipped_missing FROM o")
@@ -732,8 +799,16 @@ def sink_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.errors_table(checks.quarantined_rows(df), change_log(df)).select("row_number", "error_category", "error_count", "error_summary", "attempted_fixes")
 
 
-QUERIES["first_n_examples"], ORACLES["first_n_examples"] = sink_errors, ORACLES["sink_errors"]
-QUERIES["sort_errors"], ORACLES["sort_errors"] = lambda spark, sf_dir: sink_errors(spark, sf_dir).orderBy("row_number"), ORACLES["sink_errors"]
+@query(with_(STAGES, ERRORS) + "SELECT error_type, array_to_string(list(DISTINCT row_number ORDER BY row_number)[1:5], ',') AS examples FROM e GROUP BY 1")
+def first_n_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.first_rows(_errors(spark, sf_dir), "error_type", 5).select("error_type", "examples")
+
+
+@query(with_(STAGES, ERRORS, CATEGORY) + "SELECT row_number() OVER (ORDER BY row_number) AS place, row_number, n AS error_count FROM q")
+def sort_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarantined rows in the order of the file, with their place."""
+    rows = sinks.errors_table(checks.quarantined_rows(_checked(spark, sf_dir))).select("row_number", "error_count").orderBy("row_number")
+    return tabular.placed(rows, "place")
 
 
 @query(with_(STAGES, LOG) + "SELECT row_number, \"column\", coalesce(before, '') AS before_value, coalesce(after, '') AS after_value, 'rule' AS source, 1.0::DOUBLE AS confidence FROM log")
@@ -741,7 +816,11 @@ def sink_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.diff_table(_log(spark, sf_dir)).select("row_number", "column", "before_value", "after_value", "source", "confidence")
 
 
-QUERIES["sort_diff"], ORACLES["sort_diff"] = lambda spark, sf_dir: sink_diff(spark, sf_dir).orderBy("row_number"), ORACLES["sink_diff"]
+@query(with_(STAGES, LOG) + """, d AS (SELECT row_number, "column", rule_id FROM log) SELECT row_number() OVER (ORDER BY row_number, "column", rule_id) AS place, row_number, "column" FROM d""")
+def sort_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes in the order of the file, with their place."""
+    rows = _log(spark, sf_dir).select("row_number", "column", "rule_id").orderBy("row_number", "column", "rule_id")
+    return tabular.placed(rows, "place").select("place", "row_number", "column")
 
 
 @query(with_(STAGES, LOG) + "SELECT row_number, \"column\" AS column_name, before AS before_value, after AS after_value, rule_id FROM log")
@@ -749,31 +828,84 @@ def sink_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.audit_table(_log(spark, sf_dir), "run").select("row_number", "column_name", "before_value", "after_value", "rule_id")
 
 
-@query()
+@query(with_(STAGES, ERRORS, CATEGORY) + f"SELECT q.row_number, error_category AS category, n AS n_errors, s.dept AS department, (SELECT arg_min(message, ord) FROM e WHERE e.row_number = q.row_number) AS first_message FROM q JOIN {LAST} s USING (row_number)")
 def sink_errors_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.errors_json(checks.quarantined_rows(_checked(spark, sf_dir)))
+    """The JSON texts, read again."""
+    path = f"{sinks.scratch(spark)}/errors_json"
+    sinks.errors_json(checks.quarantined_rows(_checked(spark, sf_dir))).write.json(path)
+    detail = "struct<row_number:long,error_category:string,data:struct<Department:string>,errors:array<struct<column:string,type:string,message:string>>>"
+    back = spark.read.json(path, schema="row_number long, detail string").select(F.from_json("detail", detail).alias("d"))
+    return back.select("d.row_number", F.col("d.error_category").alias("category"), F.size("d.errors").cast("long").alias("n_errors"), F.col("d.data.Department").alias("department"), F.get("d.errors", 0).message.alias("first_message"))
 
 
 @query(with_(STAGES, oracle.LOOSE) + f"SELECT row_number, {', '.join(COLUMNS)} FROM {LAST} WHERE row_number NOT IN (SELECT row_number FROM e)")
 def sink_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ledger.run(messy_ledger(spark, sf_dir))
+    out = ledger.run(messy_ledger(spark, sf_dir), persist=False)
     return _short(sinks.cleaned_table(out.valid).drop("row_uuid"))
 
 
-@query()
+_WRITTEN = f"w AS (SELECT (SELECT count(*) FROM {LAST}) AS total, (SELECT count(DISTINCT row_number) FROM e) AS bad, (SELECT count(*) FROM log) AS changes)"
+
+
+@query(with_(STAGES, oracle.LOOSE, LOG, _WRITTEN) + "SELECT 'cleaned' AS type, total - bad AS row_count FROM w UNION ALL SELECT 'errors', bad FROM w UNION ALL SELECT 'errors_json', bad FROM w UNION ALL SELECT 'diff', changes FROM w UNION ALL SELECT 'audit', changes FROM w UNION ALL SELECT unnest(['manifest', 'metrics', 'summary']), -1")
 def artifact_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ledger.run(messy_ledger(spark, sf_dir))
-    index = sinks.write_run(out, sinks.scratch(spark))
+    """A run's artifacts, written, registered and listed."""
+    base = sinks.scratch(spark)
+    out = ledger.run(messy_ledger(spark, sf_dir), run_id="r")
+    sinks.write_run(out, f"{base}/r", store=f"{base}/index")
     out.close()
-    return index
+    return registry.list_artifacts(spark.read.schema(registry.ARTIFACT).parquet(f"{base}/index"), "r").groupBy("type").agg(F.coalesce(F.max("row_count"), F.lit(-1)).alias("row_count"))
 
 
-@query()
+_ARTIFACTS = """SELECT concat('a', cast(o_orderkey AS STRING)) AS artifact_id, concat('run', cast(o_orderkey % 50 AS STRING)) AS run_id, o_orderpriority AS type, concat('f', cast(o_custkey AS STRING)) AS file_name, 'h' AS content_hash, 'p' AS storage_path,
+    cast(o_custkey AS BIGINT) AS size_bytes, 'text/csv' AS mime_type, cast(o_orderkey % 9 AS BIGINT) AS row_count, cast(o_orderdate AS TIMESTAMP) AS created_at FROM {orders}"""
+_A = "a AS (" + _ARTIFACTS.format(orders="orders") + ")"
+
+
+def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_ARTIFACTS, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+@query(with_(_A) + "SELECT row_number() OVER (ORDER BY created_at, artifact_id) AS place, artifact_id, type, file_name, size_bytes, row_count FROM a WHERE run_id = 'run7'")
+def list_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tabular.placed(registry.list_artifacts(_artifacts(spark, sf_dir), "run7"), "place").select("place", "artifact_id", "type", "file_name", "size_bytes", "row_count")
+
+
+@query(with_(_A) + "SELECT artifact_id, run_id, type, size_bytes FROM a WHERE artifact_id = 'a11'")
+def artifact_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appended twice, fetched once."""
+    store = f"{sinks.scratch(spark)}/index"
+    for _ in range(2):
+        registry.register(_artifacts(spark, sf_dir), store)
+    return registry.get_artifact(spark.read.schema(registry.ARTIFACT).parquet(store), "a11").select("artifact_id", "run_id", "type", "size_bytes")
+
+
+_CONTRACTS = "SELECT concat('c', cast(o_custkey % 20 AS STRING)) AS name, concat('1.', cast(o_orderkey AS STRING)) AS version, '{}' AS body, o_orderkey % 3 = 0 AS is_active, cast(o_orderdate AS TIMESTAMP) AS created_at FROM {orders}"
+_C = "c AS (" + _CONTRACTS.replace("{orders}", "orders") + ")"
+
+
+@query(with_(_C) + "SELECT row_number() OVER (ORDER BY name, version DESC) AS place, name, version FROM c WHERE is_active")
+def list_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = spark.sql(_CONTRACTS.replace("'{}'", "'{{}}'"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return tabular.placed(registry.list_schemas(stored), "place").select("place", "name", "version")
+
+
+@query("SELECT unnest(['Transaction ID', 'Date', 'Account Code', 'Account Name', 'Description', 'Debit Amount', 'Credit Amount', 'Department', 'Reference Number', 'Created By']) AS name, unnest(['string', 'date', 'string', 'string', 'string', 'decimal', 'decimal', 'string', 'string', 'string']) AS type, unnest([false, true, false, true, false, false, false, true, false, true]) AS required")
+def schema_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contract, stored and loaded by name and version."""
+    store = f"{sinks.scratch(spark)}/contracts"
+    registry.store_contract(spark, store, "ledger", ledger_contract())
+    registry.store_contract(spark, store, "strict", strict_contract())
+    found = registry.load_contract(spark, store, "strict", "1.0.0")
+    return spark.createDataFrame([(c.name, c.type, c.required) for c in found.columns], "name string, type string, required boolean")
+
+
+@query(with_(STAGES, oracle.LOOSE) + f"SELECT (SELECT count(*) FROM {LAST}) AS total_rows, (SELECT count(DISTINCT row_number) FROM e) AS quarantined_rows")
 def work_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = sinks.scratch(spark)
     messy_ledger(spark, sf_dir).drop("row_uuid", "row_number").coalesce(1).write.option("header", True).csv(f"{base}/inbox")
     runs.watch(spark, f"{base}/inbox", f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{base}/out").select("path", "length")
+    return spark.read.json(f"{base}/out/*/metrics.json", schema="total_rows long, quarantined_rows long", multiLine=True)
 
 
 @query(with_(STAGES, ERRORS, CATEGORY, RESIDUAL, MAPPED) + f", a AS ({_APPLIED}) SELECT dept AS department, count(*) AS n_rows, count_if(q.row_number IS NULL)::BIGINT AS clean_rows FROM a LEFT JOIN q USING (row_number) GROUP BY 1")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.contract import SYSTEM_COLUMNS
 from sparkwright.operators.checks import ERRORS
+from sparkwright.operators.reports import column_issues, top_messages
 
 MEDIA_TYPES = {".csv": "text/csv", ".json": "application/json", ".md": "text/markdown", ".ndjson": "application/x-ndjson"}
 
@@ -79,27 +80,90 @@ def idempotency_key(parts: list[str]) -> str:
     return hashlib.sha256("|".join(parts).encode()).hexdigest()
 
 
-def summary_text(metrics: dict, issues: list[tuple[str, int]]) -> str:
-    """The Markdown report; absent figures print as 0."""
+def summary_text(metrics: dict, issues: list[tuple[str, int]], rules: dict[str, int] | None = None, sources: dict[str, int] | None = None, categories: dict[str, int] | None = None, messages: list[tuple[str, int]] | None = None, columns: list[tuple[str, int]] | None = None, files: list[tuple[str, int]] | None = None, state: str = "") -> str:
+    """The Markdown report; absent figures print as 0, absent parts are left out."""
     n = lambda k: metrics.get(k) or 0
-    lines = ["# Run summary", "", "| figure | value |", "|-|-|"]
-    lines += [f"| {k} | {n(k):,} |" for k in ("total_rows", "clean_rows", "quarantined_rows", "cells_modified")]
-    lines += [f"| quarantine rate | {n('quarantine_rate'):.1%} |", "", "## Most frequent issues", ""]
-    return "\n".join(lines + ([f"- {name}: {count:,}" for name, count in issues] or ["None."])) + "\n"
+    lines = ["# Run summary", "", *([f"State: {state}.", ""] if state else []), "| figure | value |", "|-|-|"]
+    lines += [f"| {k} | {n(k):,} |" for k in ("total_rows", "clean_rows", "quarantined_rows", "total_cells", "cells_modified", "rows_modified", "n_changes")]
+    lines += [f"| quarantine rate | {n('quarantine_rate'):.1%} |", f"| modification rate | {n('modification_rate'):.1%} |"]
+
+    def part(title: str, rows: list[tuple[str, int]] | None) -> None:
+        if rows is not None:
+            lines.extend(["", f"## {title}", "", *([f"- {name}: {count:,}" for name, count in rows] or ["None."])])
+
+    by_count = lambda d: None if d is None else sorted(d.items(), key=lambda x: (-x[1], x[0]))
+    part("Changes by rule", by_count(rules))
+    part("Changes by source (rules, mapper, cache)", by_count(sources))
+    part("Quarantined rows by category", by_count(categories))
+    part("Most frequent messages", messages)
+    part("Columns with most errors", columns)
+    part("Most frequent issues", issues)
+    part("Files and their bytes", files)
+    return "\n".join(lines) + "\n"
+
+
+def copy_input(spark: SparkSession, source: str, folder: str) -> str:
+    """The input's bytes beside the outputs, through Hadoop's file systems."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    here, there = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(f"{folder}/{source.rstrip('/').rsplit('/', 1)[-1]}")
+    jvm.org.apache.hadoop.fs.FileUtil.copy(here.getFileSystem(conf), here, there.getFileSystem(conf), there, False, True, conf)
+    return there.toString()
+
+
+def files_below(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def write_run(result, path: str, by_row: bool = True) -> DataFrame:
-    """Writes all artifacts of a run below ``path`` and returns an index of the
-    files (path, length, sha256).  ``by_row`` sorts diff and errors by row."""
+def artifact_entries(spark: SparkSession, path: str, run_id: str, rows: dict[str, int]) -> DataFrame:
+    """Index entries of the files below ``path``: their type is the folder or the
+    name below it, their identifier comes from run, place and content."""
+    files = files_below(spark, path)
+    below = F.expr(f"substring(path, locate({json.dumps('/' + path.strip('/').rsplit('/', 1)[-1] + '/')}, path) + {len(path.strip('/').rsplit('/', 1)[-1]) + 2})")
+    first = F.element_at(F.split(below, "/"), 1)
+    kind = F.regexp_replace(first, r"\.[a-z]+$", "")
+    mime = F.coalesce(*[F.when(F.col("path").endswith(k), v) for k, v in MEDIA_TYPES.items()], F.lit("application/octet-stream"))
+    counts = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in rows.items()], F.lit(None)).cast("long")
+    identity = F.substring(F.sha2(F.concat_ws("|", F.lit(run_id), below, "sha256"), 256), 1, 32)
+    return files.select(
+        identity.alias("artifact_id"), F.lit(run_id).alias("run_id"), kind.alias("type"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("sha256").alias("content_hash"),
+        F.col("path").alias("storage_path"), F.col("length").alias("size_bytes"), mime.alias("mime_type"), counts.alias("row_count"), F.current_timestamp().alias("created_at"),
+    )
+
+
+def write_run(result, path: str, by_row: bool = True, store: str | None = None) -> DataFrame:
+    """Writes all artifacts of a run below ``path``, the input file's bytes among
+    them, and returns an index of the files (path, length, sha256).  ``by_row``
+    sorts diff and errors by row.  With ``store``, the index is also appended to
+    that table (``operators.registry``), and so is the audit to the one beside it."""
     spark = result.checked.sparkSession
     ordered = lambda df: df.orderBy("row_number") if by_row else df
     cleaned_table(result.valid).write.mode("overwrite").option("header", True).csv(f"{path}/cleaned")
     ordered(errors_table(result.quarantined, result.changes)).write.mode("overwrite").option("header", True).csv(f"{path}/errors")
     errors_json(result.quarantined).write.mode("overwrite").json(f"{path}/errors_json")
     ordered(diff_table(result.changes)).write.mode("overwrite").option("header", True).csv(f"{path}/diff")
-    audit_table(result.changes, result.run_id).write.mode("overwrite").json(f"{path}/audit")
+    audit = audit_table(result.changes, result.run_id)
+    audit.write.mode("overwrite").json(f"{path}/audit")
+    if store:
+        audit.write.mode("append").parquet(f"{store}-audit")
     metrics = result.metrics.first().asDict()
     put_bytes(spark, f"{path}/metrics.json", json.dumps(metrics, sort_keys=True, indent=1, default=str).encode())
-    put_bytes(spark, f"{path}/manifest.json", json.dumps({"run_id": result.run_id, "idempotency_key": result.key, "options": vars(result.options)}, sort_keys=True, default=list).encode())
-    put_bytes(spark, f"{path}/summary.md", summary_text(metrics, [(r.issue, r.n) for r in result.issues.collect()]).encode())
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    put_bytes(spark, f"{path}/manifest.json", json.dumps({"run_id": result.run_id, "idempotency_key": result.key, "options": vars(result.options), "source": result.source}, sort_keys=True, default=list).encode())
+    if result.source:
+        copy_input(spark, result.source, f"{path}/input")
+    counted = lambda df, *by: {tuple(r)[:-1] if len(by) > 1 else r[0]: r[-1] for r in df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_rule = counted(result.changes, "source", "rule_id")  # as many rows as there are rules
+    sources: dict[str, int] = {}
+    for (source, _), k in by_rule.items():
+        sources[source] = sources.get(source, 0) + k
+    files = files_below(spark, path)
+    text = summary_text(
+        metrics, [(r.issue, r.n) for r in result.issues.collect()], {r: k for (_, r), k in by_rule.items() if r}, sources, counted(result.quarantined, "error_category"),
+        [(r.message, r.n) for r in top_messages(result.errors).collect()], [(r["column"], r.n) for r in column_issues(result.errors).collect()],
+        [(r.top, r.n) for r in files.groupBy(F.regexp_extract("path", f"{path.strip('/').rsplit('/', 1)[-1]}/([^/]+)", 1).alias("top")).agg(F.sum("length").alias("n")).orderBy("top").collect()],
+        "succeeded" if not metrics["quarantined_rows"] else "partial" if metrics["clean_rows"] else "failed",
+    )
+    put_bytes(spark, f"{path}/summary.md", text.encode())
+    if store:
+        rows = {"cleaned": metrics["clean_rows"], "errors": metrics["quarantined_rows"], "errors_json": metrics["quarantined_rows"], "diff": metrics["n_changes"], "audit": metrics["n_changes"]}
+        artifact_entries(spark, path, result.run_id, rows).write.mode("append").parquet(store)
+    return files_below(spark, path)

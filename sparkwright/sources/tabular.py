@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,14 +67,36 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+@dataclass(frozen=True)
+class Shape:
+    """How a file is to be read: its encoding, and whether quoted values hold line
+    breaks, so that a file cannot be cut at them."""
+
+    encoding: str
+    broken_lines: bool
+
+
+def shape_of(spark: SparkSession, path: str) -> Shape:
+    """One pass over the lines, which are cut by bytes: UTF-8 if all are, else
+    Latin-1, which every byte string is; a line with an odd number of quotes means
+    that a value goes on in the next one."""
+    lines = spark.read.text(path)
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    r = lines.agg(F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"), F.coalesce(F.bool_or(odd % 2 == 1), F.lit(False)).alias("odd")).first()
+    return Shape("UTF-8" if r.utf8 else "ISO-8859-1", r.odd)
+
+
 def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8 if all bytes are, else Latin-1, which every byte string is."""
-    bad = spark.read.format("binaryFile").load(path).filter(~F.expr("is_valid_utf8(cast(content as string))")).limit(1).count()
-    return "ISO-8859-1" if bad else "UTF-8"
+    return shape_of(spark, path).encoding
 
 
 def numbered(df: DataFrame, start: int = 1) -> DataFrame:
-    """``row_number`` in file order: rows of each partition are counted, then
+    """``row_number`` in file order."""
+    return placed(df, "row_number", start)
+
+
+def placed(df: DataFrame, name: str, start: int = 1) -> DataFrame:
+    """Each row's place in the order of ``df``, in a column ``name``: rows of each partition are counted, then
     offset; nothing is sorted or sent to one task."""
     spark, names = df.sparkSession, df.columns
     with_id = df.withColumn("__id", F.monotonically_increasing_id())
@@ -84,7 +108,7 @@ def numbered(df: DataFrame, start: int = 1) -> DataFrame:
         total += n
     table = spark.createDataFrame(offsets, "__p long, __offset long")
     at = F.col("__offset") + F.col("__id").bitwiseAND((1 << 33) - 1)
-    return with_id.withColumn("__p", part).join(F.broadcast(table), "__p").select(*[F.col(f"`{c}`") for c in names], at.alias("row_number"))
+    return with_id.withColumn("__p", part).join(F.broadcast(table), "__p").select(*[F.col(f"`{c}`") for c in names], at.alias(name))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -101,11 +125,12 @@ def nulled(df: DataFrame, tokens: tuple[str, ...] = NULL_TOKENS) -> DataFrame:
 def read_table(spark: SparkSession, path: str, contract: TableContract | None = None, options: RunOptions = RunOptions(), lenient: bool = False) -> DataFrame:
     """Every column as text, headers normalised, with ``row_uuid`` and
     ``row_number``.  ``path`` is whatever Spark reads: a file, a folder, an object
-    store.  ``lenient`` drops malformed lines and keeps null tokens as they are."""
-    encoding = encoding_of(spark, path)
-    head = [r.value for r in spark.read.option("encoding", encoding).text(path).limit(10).collect()]
+    store.  ``lenient`` drops malformed lines and keeps null tokens as they are.
+    Files are cut into tasks unless quoted values hold line breaks."""
+    shape = shape_of(spark, path)
+    head = [r.value for r in spark.read.option("encoding", shape.encoding).text(path).limit(10).collect()]
     sep = delimiter_of([h.lstrip("﻿") for h in head])
-    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("multiLine", True).option("encoding", encoding)
+    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("multiLine", shape.broken_lines).option("encoding", shape.encoding)
     raw = reader.option("mode", "DROPMALFORMED" if lenient else "PERMISSIVE").csv(path)
     names = [normalized_header(c.lstrip("﻿"), contract.aliases if contract else None) for c in raw.columns]
     names = [n if n not in names[:k] else f"{n} {k}" for k, n in enumerate(names)]
@@ -126,3 +151,28 @@ def read_bytes(spark: SparkSession, content: bytes, contract: TableContract | No
     path = f"{scratch(spark)}/input.csv"
     put_bytes(spark, path, content)
     return read_table(spark, path, contract, options)
+
+
+@dataclass(frozen=True)
+class Ingested:
+    """A file as a table, the hash of its bytes, and original -> normalised header."""
+
+    table: DataFrame
+    fingerprint: str
+    headers: dict[str, str]
+
+
+def ingest(spark: SparkSession, path: str, contract: TableContract | None = None, options: RunOptions = RunOptions()) -> Ingested:
+    """Reads a file or the files of a folder; with ``use_inferred`` headers keep
+    their own names, so that a contract can be inferred from them.  Of several
+    files, the hash is that of their hashes in the order of their paths."""
+    if problem := options.problem():
+        raise ValueError(problem)
+    hashes = [r.sha256 for r in fingerprints(spark, path).orderBy("path").collect()]  # one for each file
+    whole = hashes[0] if len(hashes) == 1 else hashlib.sha256("".join(hashes).encode()).hexdigest()
+    shape = shape_of(spark, path)
+    head = [r.value for r in spark.read.option("encoding", shape.encoding).text(path).limit(10).collect()]
+    names = spark.read.option("header", True).option("sep", delimiter_of(head)).option("quote", '"').option("escape", '"').option("encoding", shape.encoding).csv(path).columns
+    names = [n.lstrip("\ufeff") for n in names]
+    aliases = None if contract is None else contract.aliases
+    return Ingested(read_table(spark, path, contract, options), whole, {n: normalized_header(n, aliases) for n in names})

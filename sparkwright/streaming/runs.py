@@ -46,13 +46,15 @@ def next_run(runs: DataFrame, now: str, timeout_s: int = 300) -> DataFrame:
 
 
 def queue_positions(runs: DataFrame) -> DataFrame:
-    """1 + the number of queued runs created earlier.  The count of each moment
-    is summed up first, so the one task of the global order gets a row for each
-    moment only."""
+    """1 + the number of queued runs created earlier.  Moments are summed up first,
+    then days, so the one task of the order of days gets a row for each day, and
+    that of a day a row for each of its moments."""
     queued = runs.filter(F.col("status") == "queued")
-    moments = queued.groupBy("created_at").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(W.orderBy("created_at").rowsBetween(W.unboundedPreceding, -1))
-    return queued.join(moments.select("created_at", (F.coalesce(before, F.lit(0)) + 1).alias("position")), "created_at").select("run_id", "created_at", "position")
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    moments = queued.groupBy("created_at").agg(F.count(F.lit(1)).alias("n")).withColumn("day", F.to_date("created_at"))
+    days = moments.groupBy("day").agg(F.sum("n").alias("n")).select("day", earlier(W.orderBy("day")).alias("before"))
+    moments = moments.withColumn("within", earlier(W.partitionBy("day").orderBy("created_at"))).join(days, "day")
+    return queued.join(moments.select("created_at", (F.col("before") + F.col("within") + 1).alias("position")), "created_at").select("run_id", "created_at", "position")
 
 
 def list_runs(runs: DataFrame, status: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwright.contract import DECIMAL, ColumnSpec, RunOptions, TableContract, ledger_contract
-from sparkwright.operators import checks, profiling, residual
+from sparkwright.operators import checks, profiling, registry, residual
 from sparkwright.operators.rules import apply_rules, change_log
 from sparkwright.plans.fixture import messy_ledger, strict_contract
 from sparkwright.plans.ledger import run
@@ -175,3 +175,61 @@ def test_watched_folder_takes_each_file_once(spark, tmp_path):
     (inbox / "two.csv").write_text(CSV)
     watch(*args).awaitTermination()
     assert (tmp_path / "out/two/metrics.json").exists() and (tmp_path / "out/one/metrics.json").stat().st_mtime_ns == first
+
+
+def test_artifacts_are_registered_listed_and_fetched(spark, path, tmp_path):
+    store, out = str(tmp_path / "index"), run(path, spark=spark, run_id="r2")
+    sinks.write_run(out, str(tmp_path / "r2"), store=store)
+    out.close()
+    index = spark.read.schema(registry.ARTIFACT).parquet(store)
+    rows = registry.list_artifacts(index, "r2").collect()
+    assert {r.type for r in rows} >= {"cleaned", "errors", "diff", "audit", "metrics", "manifest", "summary", "input"}
+    assert {r.type: r.row_count for r in rows}["errors"] == 3 and registry.list_artifacts(index, "other").count() == 0
+    one = registry.get_artifact(index, rows[0].artifact_id).collect()
+    assert len(one) == 1 and one[0].storage_path == rows[0].storage_path and registry.get_artifact(index, "none").count() == 0
+    assert (tmp_path / "r2/input/ledger.csv").read_bytes() == open(path, "rb").read()
+    assert spark.read.parquet(store + "-audit").count() == spark.read.json(str(tmp_path / "r2/audit")).count()
+    text = (tmp_path / "r2/summary.md").read_text()
+    assert all(f"## {x}" in text for x in ("Changes by rule", "Quarantined rows by category", "Most frequent messages", "Columns with most errors", "Files and their bytes"))
+
+
+def test_contracts_are_stored_and_loaded(spark, tmp_path):
+    store = str(tmp_path / "contracts")
+    for name, contract in (("a", strict_contract()), ("b", ledger_contract())):
+        registry.store_contract(spark, store, name, contract)
+    assert registry.load_contract(spark, store, "a", "1.0.0") == strict_contract() and registry.load_contract(spark, store, "a", "2") is None
+    assert [r.name for r in registry.list_schemas(spark.read.schema(registry.SCHEMA).parquet(store)).collect()] == ["a", "b"]
+
+
+def test_guards(spark, path):
+    assert "experimental" in RunOptions(use_inferred=True).problem() and RunOptions(use_inferred=True, acknowledge_experimental=True).problem() is None
+    assert "forced" not in (RunOptions().problem() or "") and "Vendor" in RunOptions(map_columns=("Vendor",)).problem() and RunOptions(map_columns=("Vendor",), force_map_columns=True).problem() is None
+    with pytest.raises(ValueError):
+        run(path, spark=spark, options=RunOptions(use_inferred=True))
+
+
+def test_files_are_cut_unless_values_hold_line_breaks(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text("a,b\n" + "x,\"y, z\"\n" * 5)
+    (tmp_path / "broken.csv").write_text('a,b\n1,"two\nlines"\n2,three\n')
+    assert not tabular.shape_of(spark, str(tmp_path / "plain.csv")).broken_lines and tabular.shape_of(spark, str(tmp_path / "broken.csv")).broken_lines
+    assert [r.B for r in tabular.read_table(spark, str(tmp_path / "broken.csv")).orderBy("row_number").collect()] == ["two\nlines", "three"]
+    assert tabular.read_table(spark, str(tmp_path / "plain.csv")).count() == 5
+    out = tabular.ingest(spark, str(tmp_path / "plain.csv"))
+    assert out.headers == {"a": "A", "b": "B"} and len(out.fingerprint) == 64 and out.table.count() == 5
+
+
+def test_plans_read_the_table_twice_at_most(spark):
+    from sparkwright.plans import queries
+
+    for name in ("split_valid", "ledger_run", "planner_summary"):
+        df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert final.count("FileScan") <= 2, name
+
+
+def test_answers_keep_to_their_contract(spark):
+    texts = ['[{"value":"x","mapped":"Sales","confidence":0.9,"reason":"r"},{"value":"y","mapped":null,"confidence":0,"reason":"r"}]', '[{"value":"x","mapped":"Sales","confidence":1.2,"reason":"r"}]', '[{"value":"x","mapped":"Moon","confidence":0.5,"reason":"r"}]', "no json", None, '{"value":"x"}']
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    kept = df.select("k", residual.checked_answers(F.col("t"), ("Sales", "IT")).alias("x")).orderBy("k").collect()
+    assert [len(r.x) for r in kept] == [2, 0, 0, 0, 0, 0]
