@@ -23,6 +23,8 @@ GRAM, WINDOW = 10, 32
 MOST_BUCKETS = 4096
 #: Rows of the sorted suffixes that are looked at together.
 BUFFER = 1 << 16
+#: Rows before and after one that it is compared with.
+NEAR = 8
 #: Rows either side of the bound of two partitions that are looked at together.
 EDGE = 64
 
@@ -108,8 +110,8 @@ def _binary(column: pa.Array, reach: int) -> np.ndarray:
 
 def matches(gram: np.ndarray, doc: np.ndarray, at: np.ndarray, after: np.ndarray, right: np.ndarray, left: np.ndarray, least: int, side: str) -> tuple[np.ndarray, ...]:
     """(row, partner row, words left of the gram, words right of it) of sorted
-    suffixes that match a neighbour from another document over ``least`` words
-    or more.  Neighbours of the same gram are taken in the order of the right or
+    suffixes that match a row from another document over ``least`` words or more:
+    one of the ``NEAR`` rows before or after, or the nearest of another document.  Neighbours of the same gram are taken in the order of the right or
     the left ``side``s."""
     n, out = len(gram), []
     big = gram.view(np.uint64).astype(">u8").view(np.uint8).reshape(n, 8)
@@ -121,10 +123,11 @@ def matches(gram: np.ndarray, doc: np.ndarray, at: np.ndarray, after: np.ndarray
     run = np.concatenate([[True], d[1:] != d[:-1]])
     run_start = np.maximum.accumulate(np.where(run, np.arange(n), 0))
     run_stop = np.append(np.flatnonzero(run)[1:], n)[np.cumsum(run) - 1]
-    for other in (run_start - 1, run_stop):  # the nearest row of another document before and after
+    here = np.arange(n)
+    for other in (run_start - 1, run_stop, *(here + k for k in range(-NEAR, NEAR + 1) if k)):  # the nearest row of another document before and after, then all rows nearby
         ok = (other >= 0) & (other < n)
         a, b = order[ok], order[other[ok]]
-        same = gram[a] == gram[b]
+        same = (gram[a] == gram[b]) & (doc[a] != doc[b])
         a, b = a[same], b[same]
         if len(a):
             r = np.minimum(agree(right, a, b), np.minimum(after[a], after[b]))
