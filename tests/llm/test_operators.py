@@ -77,6 +77,22 @@ def test_ledger_scans_only_what_is_new(spark):
     again = secrets.BlobLedger(spark, ledger.path, rules={("k", 2): finder})
     assert [len(r.found) for r in secrets.secret_spans(second, ledger=again).orderBy("doc_id").collect()] == [1, 1, 0]
     assert again.read().count() == 6  # the new version, for the three blobs at hand
+    assert again.unseen(first.union(second)).count() == 0
+
+
+def test_ledger_starts_at_a_new_path_and_texts_that_it_knows_stay_where_they_are(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(k, f"text {k % 40} token = abcdef{k % 40}") for k in range(200)], "doc_id long, text string")
+    first = secrets.secret_spans(docs, ledger=secrets.BlobLedger(spark, path)).count()
+    ledger = secrets.BlobLedger(spark, path)
+    assert first == 200 and ledger.read().count() == 40 * len(secrets.RULES)
+    more = docs.union(spark.createDataFrame([(200, "text 200 token = abcdef200")], "doc_id long, text string"))
+    left = ledger.unseen(more)
+    assert {r.text for r in left.collect()} == {"text 200 token = abcdef200"}
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    probe = plan[: plan.index("BroadcastExchange")] if "BroadcastExchange" in plan else plan
+    assert "Exchange hashpartitioning(blob" not in probe or "held" in plan  # a text meets the filter before any shuffle
+    assert secrets.secret_spans(more, ledger=ledger).count() == 201 and ledger.read().count() == 41 * len(secrets.RULES)
 
 
 def test_redaction(spark):
@@ -133,6 +149,17 @@ def test_line_runs_compact_and_find_new_lines(spark):
     assert {bytes(r.line)[0]: (r.n, r["last"]) for r in runs.lines().collect()} == {x: (min(x, 5) - max(0, x - 2) + 1, min(x, 5)) for x in range(8)}
 
 
+def test_line_query_goes_through_runs(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lines.LineRuns, "add_counts", lambda self, batch, f=lines.LineRuns.add_counts: seen.append((self, f(self, batch))) or seen[-1][1])
+    docs = spark.createDataFrame([(k, f"a line that twelve rows hold\nand one that {k // 2:05d} holds") for k in range(12)], "doc_id long, text string")
+    got = lines.line_dedup(docs).collect()
+    assert sum(r.n_dropped for r in got) == 11 and len(seen) == lines.BATCHES
+    runs = seen[0][0]
+    assert sum(new.count() for _, new in seen) == 7 and {k: len(v) for k, v in runs.levels.items()} == {0: 0, 1: 1} and len(runs.later) == lines.BATCHES - 1
+    assert all("LeftAnti" in new.join(new.select("line"), "line", "left_anti")._jdf.queryExecution().optimizedPlan().toString() for _, new in seen[:1])
+
+
 def test_exact_copies(spark, texts):
     groups = defaultdict(list)
     for k, t in texts.items():
@@ -161,7 +188,8 @@ def test_index_compacts_over_batches(spark):
     assert {r.digest[0]: (r.keep, r.n) for r in index.entries().collect()} == {0: (28, 9), 1: (29, 9), 2: (26, 6), 3: (27, 6)}
     held = exact.digest_filter(index.entries().select("digest"))
     rows = spark.createDataFrame([(bytes([x]),) for x in range(200)], "digest binary")
-    assert {r.digest[0] for r in exact.may_hold(rows, held).collect()} == {0, 1, 2, 3}
+    assert {0, 1, 2, 3} <= {r.digest[0] for r in exact.may_hold(rows, held).collect()} and exact.may_hold(rows, held).count() < 10
+    assert all(run.filter.table.count() <= run.filter.buckets for run in index.levels[0]) and exact.buckets_for(10**12) == exact.MOST_BUCKETS
 
 
 # --- near copies ------------------------------------------------------------------
@@ -218,6 +246,36 @@ def test_near_copies_find_the_one_link_among_many_nearly_similar(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def boilerplate(n, pairs, m, k, words=400, seed=1):
+    """Pages with one body and ``m`` changed words each; two of a pair share ``k``
+    of them."""
+    rng = np.random.default_rng(seed)
+    places, out = np.arange(1, words, 2), []
+
+    def page(changes):
+        w = [f"w{p}" for p in range(words + 1)]
+        for tag, at in changes:
+            for p in at:
+                w[p] = f"{tag}.{p}"
+        return " ".join(w)
+
+    for d in range(n - 2 * pairs):
+        out.append(page([(f"d{d}", rng.choice(places, m, replace=False))]))
+    for q in range(pairs):
+        at = rng.choice(places, 2 * m - k, replace=False)
+        out += [page([(f"s{q}", at[:k]), (f"p{q}.{j}", own)]) for j, own in enumerate((at[k:m], at[m:]))]
+    return [out[i] for i in rng.permutation(n)]
+
+
+@pytest.mark.parametrize("m, k", [(15, 4), (13, 3)])
+def test_near_copies_on_pages_with_one_body(spark, m, k):
+    """Similar at about 0.75 and 0.78 all of them, the pairs over 0.8."""
+    texts = boilerplate(700, 40, m, k)
+    want = brute_components({i: shingles(t, 2) for i, t in enumerate(texts)})
+    got = neardup.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=2)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
 def test_near_copies_in_one_large_group(spark):
     rng = np.random.default_rng(1)
     base = [f"w{k}" for k in range(200)]
@@ -265,8 +323,7 @@ def test_repeats(docs, texts):
     for r in repeats.repeated_passages(docs).orderBy("doc_id", "start_word").collect():
         got[r.doc_id].append([r.start_word, r.stop_word])
         assert r.other_id != r.doc_id and words[r.doc_id][r.start_word : r.start_word + 10] and r.n_words >= 50
-    assert got.keys() == {k for k, v in want.items() if v}
-    assert sum(got[k] == want[k] for k in got) >= 0.98 * len(got)
+    assert got == {k: v for k, v in want.items() if v}
 
 
 def test_repeats_on_odd_rows(spark, odd):

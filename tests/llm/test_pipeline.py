@@ -83,11 +83,14 @@ def test_packing_holds_every_token_once(steps):
 
 
 ODD = [(1, None), (2, ""), (3, " \n "), (None, "one"), (4, "one"), (4, "one"), (5, "long word " * 3000), (6, None), (6, None)]
-NAMES = ("score", "digest", "blob", "bits", "bucket", "kept", "row", "n", "component_id")
+NAMES = (
+    "score", "digest", "blob", "bits", "bucket", "kept", "row", "n", "component_id", "held", "held_", "drop", "spans", "own", "id", "line", "last", "batch", "left", "todo", "found", "root", "node", "group", "size", "label",
+    "__score", "__digest", "__id", "__drop", "__doc_id", "__kept", "__row", "__lines", "__spans", "__held", "__bits", "a.b", "x y", "part", "ids", "curve",
+)
 
 
 def test_odd_rows_and_clashing_names(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in NAMES)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in NAMES)
     docs = spark.createDataFrame([(k, t, None, None, None, *NAMES) for k, t in ODD], schema)
     out = stages(spark, docs, SF)
     assert all(s.dtypes == docs.dtypes for s in out[1:5])

@@ -1,12 +1,13 @@
 """Token counts and SentencePiece ids against the libraries, on whole tables and odd texts."""
 
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from sparkwright.llm import bpe, pieces
+from sparkwright.llm import bpe, pieces, queries
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -37,12 +38,61 @@ def test_word_ids_match_the_library(corpus):
 
 
 def test_pieces_match_the_library(corpus):
-    table = pieces.ChunkTable(PIECES)
+    maker = pieces.Segmenter(PIECES)
     whole = [*ODD, *corpus]
-    for text, (ids, letters) in zip(whole, table.of_texts(whole)):
-        ids = np.frombuffer(ids, "<u4").tolist()
-        assert ids == table.library.encode(text), text[:50]
-        assert letters.decode(errors="replace") == table.library.decode(ids), text[:50]
+    chunks = sorted({c for t in whole[::2] for c in pieces.chunks_of(t)})
+    table = dict(zip(chunks, maker.segmented(chunks)))
+    for known in ({}, table):
+        for text, ids in zip(whole, maker.of_texts(whole, known)):
+            assert np.frombuffer(ids, "<u4").tolist() == maker.library.encode(text), text[:50]
+
+
+def fuzzed(n):
+    """Every character that the quick splitter takes before a comma or stop, then
+    random texts of such characters, signs, and some that it leaves alone."""
+    plain = [chr(c) for c in range(0x2100) if not bpe._PLAIN.search(chr(c))]
+    out = [f"{a}{c}{b}" for c in plain for a in ("a", "2 ", "") for b in (", b", ". b", ".\nb", ".,. b", "'s. x", ", .")]
+    rng = random.Random(5)
+    other = plain + list("<|>▁ſİßﬁ½² ​　🙂一ΣςΆ") + ["<|endoftext|>"]
+    signs = [",", ". ", ", ", ".\n", " ", "\n", "'s", "'", "a", "B", "7", "_"]
+    while len(out) < n:
+        pool = rng.choice((plain, plain, other))
+        out.append("".join(rng.choice(signs) if rng.random() < 0.5 else rng.choice(pool) for _ in range(rng.randint(1, 16))))
+    return out
+
+
+def test_100_000_fuzzed_texts_match_the_libraries():
+    whole = fuzzed(100_000)
+    maker, counter, pieced = bpe.WordIds(WORDS), bpe.MergeCounter(WORDS), pieces.Segmenter(PIECES)
+    want = [e.ids for e in maker.splitter.library.encode_batch_fast(whole, add_special_tokens=False)]
+    assert [t for t, x, ids in zip(whole, maker.of_texts(whole), want) if np.frombuffer(x, "<u2").tolist() != ids] == []
+    assert [t for t, ids in zip(whole, want) if counter.of_text(t) != len(ids)] == []
+    assert [t for t, x, ids in zip(whole, pieced.of_texts(whole, {}), pieced.library.encode(whole)) if np.frombuffer(x, "<u4").tolist() != ids] == []
+
+
+def test_queries_on_a_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    words, piece = bpe.Splitter(WORDS).library, pieces.Segmenter(PIECES).library
+    counts = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op2_token_counts(spark, sf).collect()}
+    for k, t in texts.items():
+        n = len(words.encode(t, add_special_tokens=False).ids)
+        assert counts[k] == (len(t.encode()), n, n > 2048)
+    digests = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op5_sentencepiece(spark, sf).collect()}
+    for k, t in texts.items():
+        ids = [piece.bos_id(), *piece.encode(t), piece.eos_id()]
+        assert digests[k] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(piece.decode(ids).encode()).hexdigest())
+    assert counts.keys() == digests.keys() == texts.keys()
+
+
+def test_chunk_table_holds_what_blocks_share(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"shared words own{k} own{k}") for k in range(8)], "doc_id long, text string").repartition(4)
+    table = {r.chunk: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in pieces.chunk_table(docs, PIECES).collect()}
+    library = pieces.Segmenter(PIECES).library
+    assert table == {" shared": library.encode("shared"), " words": library.encode("words")}
+    monkeypatch.setattr(pieces, "TABLE_CHUNKS", 1)
+    assert pieces.chunk_table(docs, PIECES).count() == 0  # two chunks of as many blocks
+    assert pieces.encoded(docs, PIECES).filter("decoded like 'shared words own%'").count() == 8
 
 
 def test_operators_on_nulls_and_repeats(spark):
