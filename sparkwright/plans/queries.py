@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkwright.contract import ledger_contract
+from sparkwright.contract import RunOptions, ledger_contract
 from sparkwright.functions import amounts, dates, identifiers
 from sparkwright.operators import checks, mapping, patches, profiling, registry, reports, residual
 from sparkwright.operators.rules import DEPARTMENTS, apply_rules, change_log, rules_summary
@@ -91,6 +91,107 @@ def scan_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(tabular.read_table(spark, _csv(spark, sf_dir), ledger_contract(), lenient=True)).drop("row_uuid", "row_number")
 
 
+_SUPPLIERS = "SELECT row_number() OVER (ORDER BY s_suppkey) AS row_number, s_suppkey::VARCHAR AS key, s_name AS name FROM supplier"
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return s.select(F.col("s_suppkey").alias("txn_id"), F.col("s_name").alias("user"))
+
+
+def _read_back(df: DataFrame) -> DataFrame:
+    return df.select("row_number", F.col("Transaction ID").alias("key"), F.col("Created By").alias("name"))
+
+
+@query(_SUPPLIERS)
+def scan_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file, in its own order."""
+    path = f"{sinks.scratch(spark)}/one"
+    _suppliers(spark, sf_dir).orderBy(F.col("txn_id")).coalesce(1).write.option("header", True).option("sep", "|").csv(path)
+    return _read_back(tabular.read_table(spark, path))
+
+
+@query(_SUPPLIERS.replace("row_number() OVER (ORDER BY s_suppkey) AS row_number, ", ""))
+def scan_object_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several files by a pattern, through Hadoop's file systems."""
+    path = f"{sinks.scratch(spark)}/many"
+    _suppliers(spark, sf_dir).repartition(3).write.option("header", True).csv(path)
+    return _read_back(tabular.read_table(spark, f"{path}/*.csv")).drop("row_number")
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) AS row_number, n_nationkey::VARCHAR AS key, n_name AS name FROM nation")
+def scan_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()  # 25 rows, an upload
+    content = "txn_id,user\n" + "".join(f"{r.n_nationkey},{r.n_name}\n" for r in nations)
+    return _read_back(tabular.read_bytes(spark, content.encode()))
+
+
+@query("SELECT unnest(['plain', 'umlauts', 'latin']) AS file, unnest(['UTF-8', 'UTF-8', 'ISO-8859-1']) AS encoding")
+def detect_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, out = sinks.scratch(spark), []
+    for name, content in (("plain", b"a,b\n1,2\n"), ("umlauts", "a,ü\n1,é\n".encode()), ("latin", "a,ü\n1,é\n".encode("latin-1"))):
+        sinks.put_bytes(spark, f"{base}/{name}.csv", content)
+        out.append((name, tabular.encoding_of(spark, f"{base}/{name}.csv")))
+    return spark.createDataFrame(out, "file string, encoding string")
+
+
+def _told(spark: SparkSession, f: Callable[[str], str], names: list[str]) -> DataFrame:
+    return spark.createDataFrame([(n, f(n)) for n in names], "name string, header string")
+
+
+@query("SELECT unnest(['txn_id', 'acct-code', 'Ref No', 'created date', '\"dept\"', 'some_odd name']) AS name, unnest(['Transaction ID', 'Account Code', 'Reference Number', 'Created By', 'Department', 'Some Odd Name']) AS header")
+def normalize_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(spark, tabular.normalized_header, ["txn_id", "acct-code", "Ref No", "created date", '"dept"', "some_odd name"])
+
+
+@query("SELECT unnest(['tbl_Dept Name', 'GL-Account_col', 'fld_other']) AS name, unnest(['Department', 'Account Code', 'fld_other']) AS header")
+def map_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synonyms = {"dept_name": "Department", "gl_account": "Account Code"}
+    return _told(spark, lambda n: tabular.mapped_header(n, synonyms), ["tbl_Dept Name", "GL-Account_col", "fld_other"])
+
+
+@query("SELECT unnest(['Account Name', 'Created By']) AS missing")
+def check_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required columns that a file does not have, in any case."""
+    names = [c.lower() for c in messy_ledger(spark, sf_dir).columns if c not in ("Account Name", "Created By", "Account Code")]
+    return spark.createDataFrame([(c,) for c in tabular.missing_headers(names, strict_contract())], "missing string")
+
+
+@query("SELECT 'Department' AS missing")
+def set_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = messy_ledger(spark, sf_dir).drop("Department", "Account Code")
+    return spark.createDataFrame([(c,) for c in tabular.missing_headers(df.columns, strict_contract())], "missing string")
+
+
+def _refused(f: Callable[[], object]) -> bool:
+    try:
+        f()
+    except ValueError:
+        return True
+    return False
+
+
+@query("SELECT unnest([24, 25]) AS row_limit, unnest([true, false]) AS refused")
+def row_limit_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sinks.scratch(spark)}/nations"
+    spark.read.parquet(f"{sf_dir}/nation.parquet").write.option("header", True).csv(path)
+    return spark.createDataFrame([(n, _refused(lambda: tabular.read_table(spark, path, options=RunOptions(row_limit=n)))) for n in (24, 25)], "row_limit int, refused boolean")  # noqa: B023
+
+
+@query("SELECT unnest([7, 8]) AS byte_limit, unnest([true, false]) AS refused")
+def byte_limit_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(n, _refused(lambda: tabular.read_bytes(spark, b"a,b\n1,2\n", options=RunOptions(byte_limit=n)))) for n in (7, 8)], "byte_limit int, refused boolean")  # noqa: B023
+
+
+@query("SELECT unnest(['plain', 'inferred', 'inferred, acknowledged', 'odd column', 'odd column, forced']) AS options, unnest([true, false, true, false, true]) AS allowed")
+def feature_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = {
+        "plain": RunOptions(), "inferred": RunOptions(use_inferred=True), "inferred, acknowledged": RunOptions(use_inferred=True, acknowledge_experimental=True),
+        "odd column": RunOptions(map_columns=("Vendor",)), "odd column, forced": RunOptions(map_columns=("Vendor",), force_map_columns=True),
+    }
+    return spark.createDataFrame([(k, o.problem() is None) for k, o in cases.items()], "options string, allowed boolean")
+
+
 @query()
 def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabular.fingerprints(spark, f"{sf_dir}/orders.parquet").select("length", "sha256")
@@ -184,6 +285,31 @@ def infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c.name, c.type, c.required, c.pattern, c.primary_key) for c in contract.columns], "name string, type string, required boolean, pattern string, primary_key boolean")
 
 
+@query("SELECT unnest(['category', 'vendor', 'remark']) AS name, unnest([true, false, false]) AS mappable")
+def infer_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text columns of certain names with 5 to 100 distinct values may be mapped."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k = F.col("o_orderkey")
+    df = o.select(k.cast("long").alias("row_number"), F.concat(F.lit("kind "), k % 7).alias("category"), F.concat(F.lit("firm "), k).alias("vendor"), F.concat(F.lit("said "), k % 7).alias("remark"))
+    return spark.createDataFrame([(c.name, c.mappable) for c in profiling.inferred_contract(df).columns], "name string, mappable boolean")
+
+
+@query("SELECT unnest(['Debit', 'Credit', 'Code']) AS name, unnest(['decimal', 'decimal', 'integer']) AS type, unnest([false, false, true]) AS required, true AS debit_xor_credit")
+def infer_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where there are a debit and a credit column, both are decimal and optional."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k = F.col("o_orderkey")
+    df = o.select(k.cast("long").alias("row_number"), (k * 3).cast("string").alias("Debit"), F.lit("none").alias("Credit"), (k + 10).cast("string").alias("Code"))
+    contract = profiling.inferred_contract(df)
+    return spark.createDataFrame([(c.name, c.type, c.required, contract.debit_xor_credit) for c in contract.columns], "name string, type string, required boolean, debit_xor_credit boolean")
+
+
+@query("SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS name, 'string' AS type, false AS required")
+def default_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contract = profiling.default_contract(spark.read.parquet(f"{sf_dir}/nation.parquet").columns)
+    return spark.createDataFrame([(c.name, c.type, c.required) for c in contract.columns], "name string, type string, required boolean")
+
+
 @query(with_(_HEAD) + "SELECT row_number, txn FROM f")
 def head_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messy_ledger(spark, sf_dir).orderBy("row_number").limit(1000).select("row_number", F.col("Transaction ID").alias("txn"))
