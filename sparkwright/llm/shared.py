@@ -27,8 +27,24 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written to the shared folder, for a
+    caller who has used or stored all results made from them.  Returns how many."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _made:
+        target = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(target.getFileSystem(conf).delete(target, True))
+    return gone
 
 
 def exists(spark: SparkSession, path: str) -> bool:
