@@ -15,10 +15,10 @@ from sparkwright.plans.ledger import run
 from sparkwright.sources.sinks import write_run
 
 
-def watch(spark: SparkSession, inbox: str, out: str, checkpoint: str, contract: TableContract | None = None, options: RunOptions = RunOptions(), mapper: Callable | None = None, available_now: bool = True) -> StreamingQuery:
+def watch(spark: SparkSession, inbox: str, out: str, checkpoint: str, contract: TableContract | None = None, options: RunOptions = RunOptions(), mapper: Callable | None = None, available_now: bool = True, store: str | None = None) -> StreamingQuery:
     """Cleans every CSV file that lands in ``inbox``.  The checkpoint is what
     claims a file: each goes through exactly one committed batch, and a batch
-    that fails is tried again."""
+    that fails is tried again.  With ``store``, artifacts are registered there."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.csv").load(inbox).select("path", "length")
 
     def process(batch: DataFrame, batch_id: int) -> None:
@@ -26,7 +26,7 @@ def watch(spark: SparkSession, inbox: str, out: str, checkpoint: str, contract:
             name = r.path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".csv")
             result = run(r.path, contract, options, spark=spark, mapper=mapper, run_id=name)
             try:
-                write_run(result, f"{out}/{name}")
+                write_run(result, f"{out}/{name}", store=store)
             finally:
                 result.close()
 
