@@ -439,3 +439,19 @@ def test_repeats_around_a_passage_that_very_many_share(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
     assert sorted((r.doc_id, r.start_word, r.stop_word, r.other_id) for r in got) == [(k, 5, 60, k ^ 1) for k in range(1000, 1040)]
+
+
+def test_digest_queries_on_odd_rows_and_empty_tables(odd):
+    from sparkwright.llm import media, secrets
+
+    for f in (secrets.secret_digests, media.media_digests, exact.exact_digests, lines.line_digests):
+        assert f(odd).count() == len(ODD) and f(odd.limit(0)).count() == 0
+    got = {r.doc_id: r for r in secrets.secret_digests(odd).collect()}
+    assert (got[7].n_assign, got[7].spans) == (1, "assign:0:18") and got[1].spans == ""
+
+
+def test_scratch_tables_are_released(spark):
+    from sparkwright.llm import shared
+
+    table = shared.written(spark.range(5), "scratch")
+    assert table.count() == 5 and shared.release(spark) >= 1 and shared.release(spark) == 0
