@@ -1,11 +1,12 @@
 """What runs leave behind and are told: an index of artifacts, a store of contracts.
-Both are tables that are appended to."""
+Both are tables whose parts are replaced when they are written again."""
 
 from __future__ import annotations
 
 import dataclasses
 import json
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +16,40 @@ ARTIFACT = "artifact_id string, run_id string, type string, file_name string, co
 SCHEMA = "name string, version string, body string, is_active boolean, created_at timestamp"
 
 
-def register(entries: DataFrame, store: str) -> None:
-    """Appends to an index; a run that is written again adds its entries again,
-    under the same identifiers."""
-    entries.write.mode("append").parquet(store)
+AUDIT = "event_id string, run_id string, event_type string, row_uuid string, row_number long, column_name string, before_value string, after_value string, source string, rule_id string, reason string, confidence double, metadata string"
+
+
+def register(entries: DataFrame, store: str, *by: str) -> None:
+    """Puts rows into a table with a folder for each value of ``by`` (``run_id``, if
+    not given).  A folder is replaced as a whole when its value is written again, so
+    a repeated or retried write leaves one set of rows."""
+    by = by or ("run_id",)
+    entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(store)
+
+
+def replace(entries: DataFrame, store: str, run_id: str) -> None:
+    """``register`` for one run, which may have no rows this time: then what it wrote
+    before goes."""
+    rows = entries.filter(F.col("run_id") == run_id)
+    if rows.isEmpty():
+        spark = entries.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/run_id={_folder(run_id)}")
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        if not any(True for _ in _children(spark, store)):
+            rows.write.mode("append").partitionBy("run_id").parquet(store)
+    else:
+        register(rows, store)
+
+
+def _folder(value: str) -> str:
+    """A value as Spark writes it into a folder's name."""
+    return SparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
+
+def _children(spark: SparkSession, path: str) -> list:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return list(system.listStatus(target)) if system.exists(target) else []
 
 
 def newest(index: DataFrame, key: str) -> DataFrame:
@@ -51,7 +82,7 @@ def get_schema(schemas: DataFrame, name: str, version: str) -> DataFrame:
 def store_contract(spark: SparkSession, store: str, name: str, contract: TableContract) -> None:
     body = json.dumps(dataclasses.asdict(contract), sort_keys=True)
     row = spark.createDataFrame([(name, contract.version, body, True)], "name string, version string, body string, is_active boolean")
-    register(row.withColumn("created_at", F.current_timestamp()), store)
+    register(row.withColumn("created_at", F.current_timestamp()), store, "name", "version")
 
 
 def load_contract(spark: SparkSession, store: str, name: str, version: str) -> TableContract | None:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +11,9 @@ from pyspark.sql import functions as F
 from sparkwright.contract import SYSTEM_COLUMNS
 from sparkwright.operators.checks import ERRORS
 from sparkwright.operators.reports import column_issues, top_messages
+from sparkwright.operators.registry import replace
+from sparkwright.sources.hashing import fingerprints
+from sparkwright.sources.scratch import scratch
 
 MEDIA_TYPES = {".csv": "text/csv", ".json": "application/json", ".md": "text/markdown", ".ndjson": "application/x-ndjson"}
 
@@ -21,16 +22,6 @@ def media_type(name: str) -> str:
     return next((v for k, v in MEDIA_TYPES.items() if name.endswith(k)), "application/octet-stream")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the session's checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="sparkwright-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def put_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     """One small file, through Hadoop's file systems."""
     jvm = spark.sparkContext._jvm
@@ -111,7 +102,7 @@ def copy_input(spark: SparkSession, source: str, folder: str) -> str:
 
 
 def files_below(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return fingerprints(spark, path, below=True)
 
 
 def artifact_entries(spark: SparkSession, path: str, run_id: str, rows: dict[str, int]) -> DataFrame:
@@ -133,8 +124,9 @@ def artifact_entries(spark: SparkSession, path: str, run_id: str, rows: dict[str
 def write_run(result, path: str, by_row: bool = True, store: str | None = None) -> DataFrame:
     """Writes all artifacts of a run below ``path``, the input file's bytes among
     them, and returns an index of the files (path, length, sha256).  ``by_row``
-    sorts diff and errors by row.  With ``store``, the index is also appended to
-    that table (``operators.registry``), and so is the audit to the one beside it."""
+    sorts diff and errors by row.  With ``store``, the index also goes to that table
+    (``operators.registry``), and the audit to the one beside it; a run that is
+    written again replaces what it had written there."""
     spark = result.checked.sparkSession
     ordered = lambda df: df.orderBy("row_number") if by_row else df
     cleaned_table(result.valid).write.mode("overwrite").option("header", True).csv(f"{path}/cleaned")
@@ -144,7 +136,7 @@ def write_run(result, path: str, by_row: bool = True, store: str | None = None)
     audit = audit_table(result.changes, result.run_id)
     audit.write.mode("overwrite").json(f"{path}/audit")
     if store:
-        audit.write.mode("append").parquet(f"{store}-audit")
+        replace(audit, f"{store}-audit", result.run_id)
     metrics = result.metrics.first().asDict()
     put_bytes(spark, f"{path}/metrics.json", json.dumps(metrics, sort_keys=True, indent=1, default=str).encode())
     put_bytes(spark, f"{path}/manifest.json", json.dumps({"run_id": result.run_id, "idempotency_key": result.key, "options": vars(result.options), "source": result.source}, sort_keys=True, default=list).encode())
@@ -165,5 +157,5 @@ def write_run(result, path: str, by_row: bool = True, store: str | None = None)
     put_bytes(spark, f"{path}/summary.md", text.encode())
     if store:
         rows = {"cleaned": metrics["clean_rows"], "errors": metrics["quarantined_rows"], "errors_json": metrics["quarantined_rows"], "diff": metrics["n_changes"], "audit": metrics["n_changes"]}
-        artifact_entries(spark, path, result.run_id, rows).write.mode("append").parquet(store)
+        replace(artifact_entries(spark, path, result.run_id, rows), store, result.run_id)
     return files_below(spark, path)

@@ -6,11 +6,14 @@ import hashlib
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.contract import RunOptions, TableContract
 from sparkwright.functions.identifiers import row_uuid
+from sparkwright.sources.hashing import fingerprints
+from sparkwright.sources.quoted import read_quoted
+from sparkwright.sources.scratch import scratch, stored
 
 # Texts that are null, candidates for the delimiter, header synonyms.
 NULL_TOKENS = ("", "NA", "N/A", "NULL", "null", "None", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "NaN", "n/a", "nan")
@@ -62,15 +65,10 @@ def delimiter_scores(lines: DataFrame) -> DataFrame:
     return out.select("k", "delimiter", F.when((F.col("low") == F.col("high")) & (F.col("low") > 0), F.col("low") * 10).otherwise(F.col("first.c")).cast("long").alias("score"))
 
 
-def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of files, read as bytes by the executors."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
-
-
 @dataclass(frozen=True)
 class Shape:
-    """How a file is to be read: its encoding, and whether quoted values hold line
-    breaks, so that a file cannot be cut at them."""
+    """How a file is to be read: its encoding, and whether quoted values may hold line
+    breaks, so that it cannot be cut at each of them."""
 
     encoding: str
     broken_lines: bool
@@ -90,25 +88,46 @@ def encoding_of(spark: SparkSession, path: str) -> str:
     return shape_of(spark, path).encoding
 
 
-def numbered(df: DataFrame, start: int = 1) -> DataFrame:
-    """``row_number`` in file order."""
-    return placed(df, "row_number", start)
+#: Helper columns of stored rows.
+_PART, _BLOCK, _ID = "__part", "__block", "__id"
+
+
+def _offset(rows: DataFrame, by: list[str], name: str, start: int) -> DataFrame:
+    """Stored ``rows`` with their place: those of each group ``by`` are counted, the
+    groups follow one another in the order of ``by``, and ``_ID`` rises by one from
+    row to row of a group.  A row of a group that was not counted is an error."""
+    spark, names = rows.sparkSession, [c for c in rows.columns if c not in (*by, _ID)]
+    found = rows.groupBy(*by).agg(F.min(_ID).alias("first"), F.count(F.lit(1)).alias("n")).collect()  # a row for each group
+    table, total = [], start
+    for r in sorted(found, key=lambda r: tuple(r)):
+        table.append((*r[: len(by)], total - r.first))
+        total += r.n
+    offsets = spark.createDataFrame(table, ", ".join([f"{rows.select(c).schema[0].name} {rows.select(c).schema[0].dataType.simpleString()}" for c in by] + ["__offset long"]))
+    at = F.col(_ID) + F.coalesce("__offset", F.raise_error(F.lit("rows without a count")).cast("long"))
+    return rows.join(F.broadcast(offsets), by, "left").select(*[F.col(f"`{c}`") for c in names], at.alias(name))
+
+
+def numbered(raw: DataFrame, start: int = 1) -> DataFrame:
+    """A table read from files with ``row_number``: by path, then by place in the
+    file.  Rows are stored once with their file block; only counts of blocks go to
+    the driver, and nothing is sorted or sent to one task."""
+    rows = stored(raw.select("*", F.col("_metadata.file_path").alias(_PART), F.col("_metadata.file_block_start").alias(_BLOCK), F.monotonically_increasing_id().alias(_ID)))
+    return _offset(rows, [_PART, _BLOCK], "row_number", start)
+
 
+def placed(df: DataFrame, name: str, start: int = 1, by: tuple[str | Column, ...] = ()) -> DataFrame:
+    """Each row's place in the order of ``df``, or in the order ``by`` (ties as they
+    come), in a column ``name``.
 
-def placed(df: DataFrame, name: str, start: int = 1) -> DataFrame:
-    """Each row's place in the order of ``df``, in a column ``name``: rows of each partition are counted, then
-    offset; nothing is sorted or sent to one task."""
-    spark, names = df.sparkSession, df.columns
-    with_id = df.withColumn("__id", F.monotonically_increasing_id())
-    part = F.shiftright("__id", 33)
-    counts = sorted((r.p, r["count"]) for r in with_id.groupBy(part.alias("p")).count().collect())  # one row per partition
-    offsets, total = [], start
-    for p, n in counts:
-        offsets.append((p, total))
-        total += n
-    table = spark.createDataFrame(offsets, "__p long, __offset long")
-    at = F.col("__offset") + F.col("__id").bitwiseAND((1 << 33) - 1)
-    return with_id.withColumn("__p", part).join(F.broadcast(table), "__p").select(*[F.col(f"`{c}`") for c in names], at.alias(name))
+    Rows are written once with the partition and the position that they have there;
+    counts, offsets and the result come from that table, so a sort whose bounds or
+    partitions would differ in a second run runs once.  With ``by``, ``df`` itself
+    is stored before, so the sort's sampling does not run it again.
+    """
+    if by:
+        df = stored(df).orderBy(*by)
+    rows = stored(df.withColumn(_ID, F.monotonically_increasing_id()))
+    return _offset(rows.withColumn(_PART, F.shiftright(_ID, 33)), [_PART], name, start)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -118,27 +137,33 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def nulled(df: DataFrame, tokens: tuple[str, ...] = NULL_TOKENS) -> DataFrame:
-    return df.select(*[F.when(~F.col(f"`{c}`").isin(*tokens), F.col(f"`{c}`")).alias(c) for c in df.columns])
+def nulled(df: DataFrame, columns: list[str] | None = None, tokens: tuple[str, ...] = NULL_TOKENS) -> DataFrame:
+    """Null tokens of ``columns`` (all, unless given) as nulls."""
+    some = set(df.columns if columns is None else columns)
+    return df.select(*[F.when(~F.col(f"`{c}`").isin(*tokens), F.col(f"`{c}`")).alias(c) if c in some else F.col(f"`{c}`") for c in df.columns])
 
 
 def read_table(spark: SparkSession, path: str, contract: TableContract | None = None, options: RunOptions = RunOptions(), lenient: bool = False) -> DataFrame:
     """Every column as text, headers normalised, with ``row_uuid`` and
     ``row_number``.  ``path`` is whatever Spark reads: a file, a folder, an object
     store.  ``lenient`` drops malformed lines and keeps null tokens as they are.
-    Files are cut into tasks unless quoted values hold line breaks."""
+    Files are cut into tasks also where quoted values hold line breaks
+    (``sources.quoted``).  ``row_number`` counts rows by path, then by place."""
     shape = shape_of(spark, path)
     head = [r.value for r in spark.read.option("encoding", shape.encoding).text(path).limit(10).collect()]
     sep = delimiter_of([h.lstrip("﻿") for h in head])
-    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("multiLine", shape.broken_lines).option("encoding", shape.encoding)
-    raw = reader.option("mode", "DROPMALFORMED" if lenient else "PERMISSIVE").csv(path)
-    names = [normalized_header(c.lstrip("﻿"), contract.aliases if contract else None) for c in raw.columns]
+    if shape.broken_lines:
+        raw, found = read_quoted(spark, path, sep, shape.encoding, lenient)
+    else:
+        reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("encoding", shape.encoding)
+        raw = reader.option("mode", "DROPMALFORMED" if lenient else "PERMISSIVE").csv(path)
+        found = raw.columns
+    names = [normalized_header(c.lstrip("﻿"), contract.aliases if contract else None) for c in found]
     names = [n if n not in names[:k] else f"{n} {k}" for k, n in enumerate(names)]
-    df = raw.toDF(*names)
-    df = df if lenient else nulled(df)
-    if options.row_limit is not None and df.limit(options.row_limit + 1).count() > options.row_limit:
+    if options.row_limit is not None and raw.limit(options.row_limit + 1).count() > options.row_limit:
         raise ValueError(f"more than {options.row_limit} rows")
-    df = spread(numbered(df))
+    df = (raw if shape.broken_lines else numbered(raw)).toDF(*names, "row_number")
+    df = spread(df if lenient else nulled(df, names))
     return df.select(row_uuid([F.col(f"`{c}`") for c in names]).alias("row_uuid"), "row_number", *[F.col(f"`{c}`") for c in names])
 
 
@@ -146,7 +171,7 @@ def read_bytes(spark: SparkSession, content: bytes, contract: TableContract | No
     """A small upload: its bytes go through the driver into the shared folder."""
     if options.byte_limit is not None and len(content) > options.byte_limit:
         raise ValueError(f"more than {options.byte_limit} bytes")
-    from sparkwright.sources.sinks import put_bytes, scratch
+    from sparkwright.sources.sinks import put_bytes
 
     path = f"{scratch(spark)}/input.csv"
     put_bytes(spark, path, content)
