@@ -276,6 +276,33 @@ def test_near_copies_on_pages_with_one_body(spark, m, k):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def test_query_on_pages_with_one_body_at_many_partitions(spark, tmp_path):
+    """No link is lost at 200 partitions, Spark's default, either."""
+    texts = boilerplate(700, 40, 13, 3)
+    want = brute_components({i: shingles(t, 2) for i, t in enumerate(texts)})
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 200)
+        got = {r.doc_id: (r.component_id, r.kept) for r in queries.op7_near_dedup(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {i: (c, i == c) for i, c in want.items()}
+
+
+def test_units_of_a_tree(spark, monkeypatch):
+    """Beginnings that few rows have are a unit; equal paths of too many are dealt out."""
+    monkeypatch.setattr(neardup, "UNIT", 8)
+    path = lambda *steps: bytes([0]) + b"".join(bytes(s) for s in (*steps, *[(0, 0)] * (neardup.DEPTH - len(steps))))
+    rows = [(path((1, k)), k) for k in range(5)] + [(path((2, 2), (k, k)), 10 + k) for k in range(20)] + [(path((3, 3)), 100 + k) for k in range(20)]
+    got = neardup._in_units(spark.createDataFrame(rows, "path binary, tie long"), len(rows)).collect()
+    units = defaultdict(list)
+    for r in got:
+        units[r.unit].append(r.tie)
+    assert len(got) == len(rows) and all(len(u) <= 8 for u in units.values())
+    assert len({r.unit for r in got if 10 <= r.tie < 40}) == 20 and len({r.unit for r in got if r.tie >= 100}) == 3
+
+
 def test_near_copies_in_one_large_group(spark):
     rng = np.random.default_rng(1)
     base = [f"w{k}" for k in range(200)]
