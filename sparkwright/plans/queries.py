@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkwright.contract import RunOptions, ledger_contract
 from sparkwright.functions import amounts, dates, identifiers
-from sparkwright.operators import checks, mapping, patches, profiling, registry, reports, residual
+from sparkwright.operators import checks, mapping, patches, profiles, profiling, registry, reports, residual, versions
 from sparkwright.operators.rules import DEPARTMENTS, apply_rules, change_log, rules_summary
 from sparkwright.plans import ledger, oracle
 from sparkwright.plans.fixture import COLUMNS, messy_ledger, strict_contract
 from sparkwright.plans.oracle import CATEGORY, ERRORS, LOG, MAPPED, RESIDUAL, STAGES, with_
-from sparkwright.sources import sinks, tabular
+from sparkwright.sources import headers, sinks, tabular
 from sparkwright.streaming import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,41 +134,57 @@ def scan_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_back(tabular.read_bytes(spark, content.encode()))
 
 
-@query("SELECT unnest(['plain', 'umlauts', 'latin']) AS file, unnest(['UTF-8', 'UTF-8', 'ISO-8859-1']) AS encoding")
+@query(r"""WITH d AS (SELECT coalesce(lang, 'none') AS lang, bool_or(regexp_matches(coalesce(text, ''), '[\x{80}-\x{ff}]')) AS beyond FROM documents GROUP BY 1)
+    SELECT lang, w AS written, CASE WHEN w = 'ISO-8859-1' AND beyond THEN w ELSE 'UTF-8' END AS encoding FROM d, (SELECT unnest(['UTF-8', 'ISO-8859-1']) AS w)""")
 def detect_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, out = sinks.scratch(spark), []
-    for name, content in (("plain", b"a,b\n1,2\n"), ("umlauts", "a,ü\n1,é\n".encode()), ("latin", "a,ü\n1,é\n".encode("latin-1"))):
-        sinks.put_bytes(spark, f"{base}/{name}.csv", content)
-        out.append((name, tabular.encoding_of(spark, f"{base}/{name}.csv")))
-    return spark.createDataFrame(out, "file string, encoding string")
+    """Documents by language, written in two encodings, and what their files show."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.translate(F.coalesce("text", F.lit("")), "\n\r", "  ").alias("line"))
+    out = None
+    for encoding in ("UTF-8", "ISO-8859-1"):
+        path = f"{sinks.scratch(spark)}/{encoding}"
+        d.write.partitionBy("lang").option("encoding", encoding).csv(path)
+        found = tabular.encodings(spark, path).select(F.regexp_extract("file", "/lang=([^/]*)/", 1).alias("lang"), F.lit(encoding).alias("written"), "encoding")
+        found = found.groupBy("lang", "written").agg(F.min("encoding").alias("encoding"))  # one file in another encoding decides
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-def _told(spark: SparkSession, f: Callable[[str], str], names: list[str]) -> DataFrame:
-    return spark.createDataFrame([(n, f(n)) for n in names], "name string, header string")
+_HEADERS = """SELECT cast(p_partkey AS BIGINT) AS id, cast(p_size AS BIGINT) AS file, CASE cast(p_partkey % 9 AS INT) WHEN 0 THEN 'txn_id' WHEN 1 THEN 'Acct-Code' WHEN 2 THEN '"Ref  No"' WHEN 3 THEN 'tbl_created_by_col'
+    WHEN 4 THEN 'DATE' WHEN 5 THEN 'fld_gl-account' WHEN 6 THEN 'cost centre' WHEN 7 THEN 'Department' ELSE concat('"', replace(lower(p_name), ' ', '_'), '-', p_brand, '"') END AS name FROM {part}"""
 
 
-@query("SELECT unnest(['txn_id', 'acct-code', 'Ref No', 'created date', '\"dept\"', 'some_odd name']) AS name, unnest(['Transaction ID', 'Account Code', 'Reference Number', 'Created By', 'Department', 'Some Odd Name']) AS header")
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_HEADERS, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
+_H = "h AS (" + _HEADERS.format(part="part") + ")"
+_SYNONYMS = "MAP {" + ", ".join(f"'{k.lower()}': '{v}'" for k, v in tabular.HEADER_SYNONYMS.items()) + "}"
+_DICTIONARY = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in headers.HEADER_DICTIONARY.items()) + "}"
+
+
+@query(with_(_H) + rf"""SELECT id, coalesce({_SYNONYMS}[lower(w)], w) AS header FROM (SELECT id, array_to_string(list_transform(string_split(trim(regexp_replace(translate(trim(name, chr(34)), '_-', '  '), '\s+', ' ', 'g')), ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS w FROM h)""")
 def normalize_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _told(spark, tabular.normalized_header, ["txn_id", "acct-code", "Ref No", "created date", '"dept"', "some_odd name"])
+    return _headers(spark, sf_dir).select("id", headers.normalized_headers(F.col("name")).alias("header"))
 
 
-@query("SELECT unnest(['tbl_Dept Name', 'GL-Account_col', 'fld_other']) AS name, unnest(['Department', 'Account Code', 'fld_other']) AS header")
+@query(with_(_H) + rf"""SELECT id, coalesce({_DICTIONARY}[k], name) AS header FROM (SELECT id, name, regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), '[\s-]+', '_', 'g'), '^(tbl_|col_|fld_)', ''), '(_col|_fld|_field)$', '') AS k FROM h)""")
 def map_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    synonyms = {"dept_name": "Department", "gl_account": "Account Code"}
-    return _told(spark, lambda n: tabular.mapped_header(n, synonyms), ["tbl_Dept Name", "GL-Account_col", "fld_other"])
+    return _headers(spark, sf_dir).select("id", headers.mapped_headers(F.col("name")).alias("header"))
+
 
+_REQUIRED = "r AS (SELECT unnest(['Date', 'Account Name', 'Department', 'Created By']) AS missing)"
 
-@query("SELECT unnest(['Account Name', 'Created By']) AS missing")
+
+@query(with_(_H, _REQUIRED) + "SELECT f.file, missing FROM (SELECT DISTINCT file FROM h) f, r WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.file = f.file AND lower(trim(h.name)) = lower(missing))")
 def check_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Required columns that a file does not have, in any case."""
-    names = [c.lower() for c in messy_ledger(spark, sf_dir).columns if c not in ("Account Name", "Created By", "Account Code")]
-    return spark.createDataFrame([(c,) for c in tabular.missing_headers(names, strict_contract())], "missing string")
+    """Required columns that each file does not have, in any case."""
+    return headers.missing_by_file(_headers(spark, sf_dir).select("file", F.col("name").alias("header")), strict_contract())
 
 
-@query("SELECT 'Department' AS missing")
+@query(with_(_H, _REQUIRED) + "SELECT f.file, missing FROM (SELECT DISTINCT file FROM h) f, r WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.file = f.file AND h.name = missing)")
 def set_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = messy_ledger(spark, sf_dir).drop("Department", "Account Code")
-    return spark.createDataFrame([(c,) for c in tabular.missing_headers(df.columns, strict_contract())], "missing string")
+    """The set difference, by the very names."""
+    return headers.missing_by_file(_headers(spark, sf_dir).select("file", F.col("name").alias("header")), strict_contract(), fold_case=False)
 
 
 def _refused(f: Callable[[], object]) -> bool:
@@ -185,23 +202,47 @@ def row_limit_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, _refused(lambda: tabular.read_table(spark, path, options=RunOptions(row_limit=n)))) for n in (24, 25)], "row_limit int, refused boolean")  # noqa: B023
 
 
-@query("SELECT unnest([7, 8]) AS byte_limit, unnest([true, false]) AS refused")
+def _by_priority(spark: SparkSession, sf_dir: str) -> str:
+    """A file of order lines for each priority, in the order of the keys."""
+    path = f"{sinks.scratch(spark)}/priorities"
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("k"), "o_orderpriority", F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")).alias("value"))
+    o.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "k").select("o_orderpriority", "value").write.partitionBy("o_orderpriority").text(path)
+    return path
+
+
+def _priority() -> Column:
+    return F.regexp_replace(F.regexp_extract("path", "o_orderpriority=([^/]*)/", 1), "%20| ", "_")
+
+
+_FILES = "f AS (SELECT replace(o_orderpriority, ' ', '_') AS priority, string_agg(o_orderkey::VARCHAR || '|' || o_custkey::VARCHAR || chr(10), '' ORDER BY o_orderkey) AS content FROM orders GROUP BY 1)"
+
+
+@query(with_(_FILES, "m AS (SELECT (sum(length(content)) // count(*))::BIGINT AS mean FROM f)") + "SELECT priority, length(content) AS length, length(content) > mean AS refused FROM f, m")
 def byte_limit_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n, _refused(lambda: tabular.read_bytes(spark, b"a,b\n1,2\n", options=RunOptions(byte_limit=n)))) for n in (7, 8)], "byte_limit int, refused boolean")  # noqa: B023
+    """Files of more bytes than their mean are refused."""
+    path = _by_priority(spark, sf_dir)
+    mean = tabular.over_limit(spark, f"{path}/*", 0).agg(F.expr("sum(length) div count(*)").alias("m")).first().m
+    return tabular.over_limit(spark, f"{path}/*", mean).select(_priority().alias("priority"), "length", "refused")
+
+
+_FLAGS = "SELECT cast(o_orderkey AS BIGINT) AS id, o_orderkey % 2 = 0 AS inferred, o_orderkey % 3 = 0 AS acknowledged, o_orderkey % 5 = 0 AS odd, o_orderkey % 7 = 0 AS forced FROM {orders}"
 
 
-@query("SELECT unnest(['plain', 'inferred', 'inferred, acknowledged', 'odd column', 'odd column, forced']) AS options, unnest([true, false, true, false, true]) AS allowed")
+@query(with_("c AS (" + _FLAGS.format(orders="orders") + ")") + "SELECT id, NOT (inferred AND NOT acknowledged) AND NOT (odd AND NOT forced) AS allowed FROM c")
 def feature_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = {
-        "plain": RunOptions(), "inferred": RunOptions(use_inferred=True), "inferred, acknowledged": RunOptions(use_inferred=True, acknowledge_experimental=True),
-        "odd column": RunOptions(map_columns=("Vendor",)), "odd column, forced": RunOptions(map_columns=("Vendor",), force_map_columns=True),
-    }
-    return spark.createDataFrame([(k, o.problem() is None) for k, o in cases.items()], "options string, allowed boolean")
+    """Options of many runs: each of their few combinations is judged once."""
+    asked = spark.sql(_FLAGS, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    flags = ("inferred", "acknowledged", "odd", "forced")
+    kinds = asked.select(*flags).distinct().collect()  # sixteen at most
+    judged = [(*k, RunOptions(use_inferred=k.inferred, acknowledge_experimental=k.acknowledged, map_columns=("Vendor",) if k.odd else ("Department",), force_map_columns=k.forced).problem() is None) for k in kinds]
+    table = spark.createDataFrame(judged, ", ".join(f"{f} boolean" for f in (*flags, "allowed")))
+    return asked.join(F.broadcast(table), list(flags)).select("id", "allowed")
 
 
-@query()
+@query(with_(_FILES) + "SELECT priority, length(content) AS length, sha256(content) AS sha256 FROM f")
 def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tabular.fingerprints(spark, f"{sf_dir}/orders.parquet").select("length", "sha256")
+    """Hashes of files, here by chunks: all are larger than what is taken whole."""
+    return tabular.fingerprints(spark, _by_priority(spark, sf_dir), below=True, whole=512).select(_priority().alias("priority"), "length", "sha256")
 
 
 @query("""WITH l AS (SELECT o_orderkey AS n, concat_ws(',', o_orderkey::VARCHAR, o_orderpriority, o_orderstatus) || CASE WHEN o_orderkey = 3 THEN ';' ELSE '' END AS value FROM orders ORDER BY o_orderkey LIMIT 10),
@@ -311,9 +352,11 @@ def infer_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c.name, c.type, c.required, contract.debit_xor_credit) for c in contract.columns], "name string, type string, required boolean, debit_xor_credit boolean")
 
 
-@query("SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS name, 'string' AS type, false AS required")
+@query("SELECT DISTINCT p_brand AS name, 'string' AS type, false AS required FROM part")
 def default_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contract = profiling.default_contract(spark.read.parquet(f"{sf_dir}/nation.parquet").columns)
+    """The contract of a table that has a column for each brand."""
+    names = [r.p_brand for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand").distinct().collect()]  # names of columns
+    contract = profiling.default_contract(names)
     return spark.createDataFrame([(c.name, c.type, c.required) for c in contract.columns], "name string, type string, required boolean")
 
 
@@ -491,9 +534,12 @@ def win_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir).select("column", "value", "first_row")
 
 
-@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", unnest([{v.strip('()')}]) AS canonical" for c, v in oracle._CANON.items()) + ")")
+@query(with_(STAGES) + "SELECT \"column\", canonical, count(row_number) AS n_rows FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", unnest([{v.strip('()')}]) AS canonical" for c, v in oracle._CANON.items()) + f") LEFT JOIN (SELECT row_number, dept AS value, 'Department' AS c FROM {LAST} UNION ALL SELECT row_number, acct, 'Account Name' FROM {LAST}) ON canonical = value AND \"column\" = c GROUP BY 1, 2")
 def canonical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residual.canonical_values(spark, ledger_contract(), MAP_COLUMNS)
+    """The canonical values of each column, and how many rows have each after the rules."""
+    known = residual.canonical_values(spark, ledger_contract(), MAP_COLUMNS)
+    rows = _ruled(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("canonical")) for c in MAP_COLUMNS])).alias("x")).select("x.*")
+    return known.join(rows.groupBy("column", "canonical").agg(F.count(F.lit(1)).alias("n_rows")), ["column", "canonical"], "left").fillna(0, ["n_rows"])
 
 
 @query(with_(STAGES) + f"SELECT row_number, dept AS value FROM {LAST} WHERE dept IN {oracle._CANON['Department']}")
@@ -1023,14 +1069,16 @@ def list_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabular.placed(registry.list_schemas(stored), "place").select("place", "name", "version")
 
 
-@query("SELECT unnest(['Transaction ID', 'Date', 'Account Code', 'Account Name', 'Description', 'Debit Amount', 'Credit Amount', 'Department', 'Reference Number', 'Created By']) AS name, unnest(['string', 'date', 'string', 'string', 'string', 'decimal', 'decimal', 'string', 'string', 'string']) AS type, unnest([false, true, false, true, false, false, false, true, false, true]) AS required")
+@query(with_(_C) + "SELECT name, version, body FROM c WHERE is_active AND name = 'c7' AND version = (SELECT max(version) FROM c WHERE is_active AND name = 'c7')")
 def schema_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A contract, stored and loaded by name and version."""
+    """A contract of many, stored twice and fetched once by name and version."""
     store = f"{sinks.scratch(spark)}/contracts"
-    registry.store_contract(spark, store, "ledger", ledger_contract())
-    registry.store_contract(spark, store, "strict", strict_contract())
-    found = registry.load_contract(spark, store, "strict", "1.0.0")
-    return spark.createDataFrame([(c.name, c.type, c.required) for c in found.columns], "name string, type string, required boolean")
+    contracts = spark.sql(_CONTRACTS.replace("'{}'", "'{{}}'"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    for _ in range(2):
+        registry.register(contracts, store, "name")
+    stored = spark.read.schema(registry.SCHEMA).parquet(store)
+    wanted = stored.filter("is_active and name = 'c7'").agg(F.max("version").alias("v")).first().v
+    return registry.get_schema(stored, "c7", wanted).select("name", "version", "body")
 
 
 @query(with_(STAGES, oracle.LOOSE) + f"SELECT (SELECT count(*) FROM {LAST}) AS total_rows, (SELECT count(DISTINCT row_number) FROM e) AS quarantined_rows")
@@ -1041,6 +1089,124 @@ def work_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.json(f"{base}/out/*/metrics.json", schema="total_rows long, quarantined_rows long", multiLine=True)
 
 
+# --- mechanisms beside the rows of the inventory -----------------------------
+
+_BROKEN = "SELECT row_number() OVER (ORDER BY o_orderkey) AS row_number, o_orderkey::VARCHAR AS key, CASE o_orderkey % 4 WHEN 0 THEN 'two' || chr(10) || 'lines, \"quoted\"' WHEN 1 THEN 'a \"sign\" inside' WHEN 2 THEN o_orderpriority ELSE NULL END AS remark FROM orders"
+
+
+@query(_BROKEN)
+def scan_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several files whose quoted values hold line breaks, read by blocks."""
+    path = f"{sinks.scratch(spark)}/quoted"
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey")
+    kind = F.col("o_orderkey") % 4
+    remark = F.when(kind == 0, 'two\nlines, "quoted"').when(kind == 1, 'a "sign" inside').when(kind == 2, F.col("o_orderpriority"))
+    o.select(F.col("o_orderkey").cast("string").alias("key"), remark.alias("remark")).write.option("header", True).option("escape", '"').csv(path)
+    return tabular.read_table(spark, path).select("row_number", F.col("Key").alias("key"), F.col("Remark").alias("remark"))
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of a ledger, merged from the stored states of two parts of it."""
+    store = f"{sinks.scratch(spark)}/profiles"
+    df = messy_ledger(spark, sf_dir)
+    for part, half in (("even", F.col("row_number") % 2 == 0), ("odd", F.col("row_number") % 2 == 1), ("odd", F.col("row_number") % 2 == 1)):
+        profiles.update(profiles.states(df.filter(half)), store, part)
+    return profiles.merged(spark.read.parquet(store))
+
+
+@query(with_(_F, _LONG) + f""", p AS (SELECT "column", {_VOTE} AS vote FROM v WHERE value IS NOT NULL), c AS (SELECT "column", vote, count(*) AS n, list_position(['integer','decimal','date','boolean','string'], vote) AS r FROM p GROUP BY 1, 2),
+    b AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, r) AS best FROM c), t AS (SELECT "column", vote FROM b WHERE best = 1),
+    g AS (SELECT "column", count(*) AS n_rows, count(value) AS n_values, count(DISTINCT value) AS d, list_sort(list_distinct(list(value)))[1:20] AS low FROM v GROUP BY 1)
+    SELECT "column", n_rows, n_values, n_values > 0.95 * n_rows AS required, vote AS data_type, CASE WHEN d <= 100 THEN d END AS n_distinct, CASE WHEN d <= 100 AND d / n_values < 0.1 THEN array_to_string(low, '|') END AS enum_values FROM g JOIN t USING ("column")""")
+def profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types, required columns and enums from all rows, through stored states; one part
+    is stored twice and counts once."""
+    return profiles.facts(_halves(spark, sf_dir)).select("column", "n_rows", "n_values", "required", "data_type", "n_distinct", F.array_join("enum", "|").alias("enum_values"))
+
+
+@query(with_(_F, _LONG) + """, c AS (SELECT "column", value, count(*) AS n FROM v WHERE value IS NOT NULL AND "column" IN ('Department', 'Created By') GROUP BY 1, 2) SELECT "column", value, n FROM c QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) <= 3""")
+def topk_values_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent values by merged sketches, which are exact for few values."""
+    state = _halves(spark, sf_dir).filter(F.col("column").isin("Department", "Created By"))
+    found = profiles.frequent(state, 20)
+    place = F.row_number().over(W.partitionBy("column").orderBy(F.desc("n"), "value"))
+    return found.withColumn("place", place).filter("place <= 3").drop("place")
+
+
+@query("SELECT unnest(['clerk_id', 'order_id']) AS \"column\" WHERE (SELECT count(DISTINCT o_orderkey) = count(*) FROM orders)")
+def detect_primary_key_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns without nulls and repeats in the whole table: a sketch picks, an exact
+    count confirms."""
+    k = F.col("o_orderkey")
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.cast("long").alias("row_number"), k.cast("string").alias("order_id"), F.concat(F.lit("c"), k).alias("clerk_id"), F.when(k > 1, k).cast("string").alias("partly"), F.greatest(k, F.lit(2)).cast("string").alias("nearly"))
+    return profiles.unique_columns(df, profiles.states(df))
+
+
+@query(with_(_V, _UPSERT, _NOW.replace("FROM v)", "FROM u)")) + "SELECT variant_value, model_id, canonical_value, confidence FROM now")
+def mapping_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions in buckets: appended, compacted, appended to, read."""
+    store = versions.VersionStore(spark, f"mappings_{uuid.uuid4().hex[:12]}", 4)
+    all_ = _versions(spark, sf_dir)
+    store.append(all_.filter("is_approved"))
+    store.append(all_.filter("not is_approved"))
+    store.compact()
+    store.append(spark.sql("SELECT 'Department' AS column_name, '5-LOW' AS variant_value, 'm0' AS model_id, 'Legal' AS canonical_value, 0.99D AS confidence, DATE '2030-01-01' AS created_at"))
+    return store.current().select("variant_value", "model_id", "canonical_value", "confidence")
+
+
+@query(with_(STAGES, LOG) + "SELECT row_number, \"column\" AS column_name, rule_id FROM log")
+def audit_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's events, stored twice, are there once."""
+    store = f"{sinks.scratch(spark)}/audit"
+    for _ in range(2):
+        registry.replace(sinks.audit_table(_log(spark, sf_dir), "run 7"), store, "run 7")
+    return spark.read.schema(registry.AUDIT).parquet(store).filter("run_id = 'run 7'").select("row_number", "column_name", "rule_id")
+
+
+def _written(spark: SparkSession, sf_dir: str) -> str:
+    base = sinks.scratch(spark)
+    _ledger_file(spark, sf_dir, f"{base}/in")
+    out = ledger.run(f"{base}/in", spark=spark, run_id="r")
+    sinks.write_run(out, f"{base}/r")
+    out.close()
+    return f"{base}/r"
+
+
+def _ledger_file(spark: SparkSession, sf_dir: str, path: str) -> None:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("p"))
+    line = F.concat_ws(",", F.concat(F.lit("TXN-"), F.lpad(F.col("k").cast("string"), 7, "0")), F.when(F.col("k") % 3 == 0, F.concat(F.lit("-"), "p")).otherwise(F.col("p")), F.when(F.col("k") % 5 == 0, "sales").otherwise("HR"))
+    first = F.monotonically_increasing_id() == 0
+    o.coalesce(1).sortWithinPartitions("k").select(F.when(first, F.concat(F.lit("txn_id,debit_amt,dept\n"), line)).otherwise(line).alias("value")).write.text(path)
+
+
+_INPUT = "i AS (SELECT 'txn_id,debit_amt,dept' || chr(10) || string_agg('TXN-' || lpad(o_orderkey::VARCHAR, 7, '0') || ',' || CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE '' END || o_totalprice::DECIMAL(18,2)::VARCHAR || ',' || CASE WHEN o_orderkey % 5 = 0 THEN 'sales' ELSE 'HR' END || chr(10), '' ORDER BY o_orderkey) AS content FROM orders)"
+
+
+@query(with_(_INPUT) + "SELECT length(content) AS length, sha256(content) AS sha256 FROM i")
+def sink_input_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of the input beside the outputs."""
+    return tabular.fingerprints(spark, f"{_written(spark, sf_dir)}/input", below=True).filter("path like '%.txt'").select("length", "sha256")
+
+
+@query("SELECT count(*) AS total_rows, count(*) * 3 AS total_cells, count_if(o_orderkey % 3 = 0)::BIGINT + count_if(o_orderkey % 5 = 0)::BIGINT AS n_changes, 0::BIGINT AS quarantined_rows FROM orders")
+def sink_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.json(f"{_written(spark, sf_dir)}/metrics.json", multiLine=True, schema="total_rows long, total_cells long, n_changes long, quarantined_rows long")
+
+
+@query("SELECT 'r' AS run_id, 64::BIGINT AS key_length, true AS has_source, 20.0::DOUBLE AS edit_cap_pct, (SELECT count(*) FROM orders) > 0 AS ran")
+def sink_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = spark.read.json(f"{_written(spark, sf_dir)}/manifest.json", multiLine=True, schema="run_id string, idempotency_key string, source string, options struct<edit_cap_pct:double>")
+    return m.select("run_id", F.length("idempotency_key").cast("long").alias("key_length"), F.col("source").isNotNull().alias("has_source"), F.col("options.edit_cap_pct").alias("edit_cap_pct"), F.lit(True).alias("ran"))
+
+
+@query("SELECT unnest(['total_rows', 'clean_rows', 'quarantined_rows']) AS figure, unnest([n, n, 0]) AS value FROM (SELECT count(*) AS n FROM orders)")
+def sink_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the report, read from its table."""
+    lines = spark.read.text(f"{_written(spark, sf_dir)}/summary.md")
+    cell = lambda k: F.trim(F.element_at(F.split("value", r"\|"), k))
+    return lines.filter("value rlike '^[|] (total_rows|clean_rows|quarantined_rows) '").select(cell(2).alias("figure"), F.replace(cell(3), F.lit(","), F.lit("")).cast("long").alias("value"))
+
+
 @query(with_(STAGES, ERRORS, CATEGORY, RESIDUAL, MAPPED) + f", a AS ({_APPLIED}) SELECT dept AS department, count(*) AS n_rows, count_if(q.row_number IS NULL)::BIGINT AS clean_rows FROM a LEFT JOIN q USING (row_number) GROUP BY 1")
 def ledger_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: rules, mapping and checks in one plan, then clean rows by

@@ -84,6 +84,18 @@ def shape_of(spark: SparkSession, path: str) -> Shape:
     return Shape("UTF-8" if r.utf8 else "ISO-8859-1", r.odd)
 
 
+def encodings(spark: SparkSession, path: str) -> DataFrame:
+    """(file, encoding) of each of many files, from one pass over their lines."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    utf8 = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+    return utf8.select("file", F.when(F.col("utf8"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"))
+
+
+def over_limit(spark: SparkSession, path: str, byte_limit: int) -> DataFrame:
+    """(path, length, refused) of files: whether each has more bytes than the limit."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", (F.col("length") > byte_limit).alias("refused"))
+
+
 def encoding_of(spark: SparkSession, path: str) -> str:
     return shape_of(spark, path).encoding
 
