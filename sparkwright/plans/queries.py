@@ -17,7 +17,7 @@ from sparkwright.plans import ledger, oracle
 from sparkwright.plans.fixture import COLUMNS, messy_ledger, strict_contract
 from sparkwright.plans.oracle import CATEGORY, ERRORS, LOG, MAPPED, RESIDUAL, STAGES, with_
 from sparkwright.sources import headers, sinks, tabular
-from sparkwright.streaming import runs
+from sparkwright.streaming import heartbeats, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1089,6 +1089,26 @@ def work_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.json(f"{base}/out/*/metrics.json", schema="total_rows long, quarantined_rows long", multiLine=True)
 
 
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER w > 86400000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+    SELECT user_id::VARCHAR AS run_id, 'timed_out' AS outcome, (epoch_us(max(ts)) // 1000 + 86400000)::BIGINT AS at_ms, count(*) AS n_events FROM s GROUP BY user_id, session""")
+def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as heartbeats, replayed in micro-batches: each silence of more than a day
+    comes out once, those at the end by their timers."""
+    base = sinks.scratch(spark)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("run_id"), F.col("ts").cast("timestamp").alias("at"))
+    ends = e.agg(F.min("at").alias("a"), F.max("at").alias("b"), F.expr("timestamp_millis(unix_millis(max(at)) + 400L * 86400000)").alias("c")).first()
+    half = ends.a + (ends.b - ends.a) / 2
+    parts = (e.filter(F.col("at") <= half), e.filter(F.col("at") > half), spark.createDataFrame([("the end", ends.c)], "run_id string, at timestamp"), spark.createDataFrame([("the end", ends.c)], "run_id string, at timestamp"))
+    stream = spark.readStream.schema(heartbeats.EVENT).parquet(f"{base}/in/*")
+    for k, part in enumerate(parts):
+        event = part.select("run_id", "at", F.lit("heartbeat").alias("kind"), F.lit("w").alias("worker_id"), F.lit(None).cast("string").alias("phase"), F.lit(None).cast("int").alias("percent"), F.lit(None).cast("string").alias("status"))
+        event.write.parquet(f"{base}/in/{k}")
+        heartbeats.track(stream, f"{base}/out", f"{base}/checkpoint", timeout_s=86400).awaitTermination()
+    found = spark.read.schema(heartbeats.OUTCOME).parquet(f"{base}/out").filter("run_id <> 'the end'")
+    return found.select("run_id", "outcome", F.unix_millis("at").alias("at_ms"), "n_events")
+
+
 # --- mechanisms beside the rows of the inventory -----------------------------
 
 _BROKEN = "SELECT row_number() OVER (ORDER BY o_orderkey) AS row_number, o_orderkey::VARCHAR AS key, CASE o_orderkey % 4 WHEN 0 THEN 'two' || chr(10) || 'lines, \"quoted\"' WHEN 1 THEN 'a \"sign\" inside' WHEN 2 THEN o_orderpriority ELSE NULL END AS remark FROM orders"
@@ -1117,11 +1137,11 @@ def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(_F, _LONG) + f""", p AS (SELECT "column", {_VOTE} AS vote FROM v WHERE value IS NOT NULL), c AS (SELECT "column", vote, count(*) AS n, list_position(['integer','decimal','date','boolean','string'], vote) AS r FROM p GROUP BY 1, 2),
     b AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, r) AS best FROM c), t AS (SELECT "column", vote FROM b WHERE best = 1),
     g AS (SELECT "column", count(*) AS n_rows, count(value) AS n_values, count(DISTINCT value) AS d, list_sort(list_distinct(list(value)))[1:20] AS low FROM v GROUP BY 1)
-    SELECT "column", n_rows, n_values, n_values > 0.95 * n_rows AS required, vote AS data_type, CASE WHEN d <= 100 THEN d END AS n_distinct, CASE WHEN d <= 100 AND d / n_values < 0.1 THEN array_to_string(low, '|') END AS enum_values FROM g JOIN t USING ("column")""")
+    SELECT "column", n_rows, n_values, n_values > 0.95 * n_rows AS required, vote AS data_type, CASE WHEN d <= 100 THEN d ELSE -1 END AS n_distinct, CASE WHEN d <= 100 AND d / n_values < 0.1 THEN array_to_string(low, '|') END AS enum_values FROM g JOIN t USING ("column")""")
 def profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types, required columns and enums from all rows, through stored states; one part
     is stored twice and counts once."""
-    return profiles.facts(_halves(spark, sf_dir)).select("column", "n_rows", "n_values", "required", "data_type", "n_distinct", F.array_join("enum", "|").alias("enum_values"))
+    return profiles.facts(_halves(spark, sf_dir)).select("column", "n_rows", "n_values", "required", "data_type", F.coalesce("n_distinct", F.lit(-1).cast("long")).alias("n_distinct"), F.array_join("enum", "|").alias("enum_values"))
 
 
 @query(with_(_F, _LONG) + """, c AS (SELECT "column", value, count(*) AS n FROM v WHERE value IS NOT NULL AND "column" IN ('Department', 'Created By') GROUP BY 1, 2) SELECT "column", value, n FROM c QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) <= 3""")
@@ -1188,8 +1208,10 @@ def sink_input_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabular.fingerprints(spark, f"{_written(spark, sf_dir)}/input", below=True).filter("path like '%.txt'").select("length", "sha256")
 
 
-@query("SELECT count(*) AS total_rows, count(*) * 3 AS total_cells, count_if(o_orderkey % 3 = 0)::BIGINT + count_if(o_orderkey % 5 = 0)::BIGINT AS n_changes, 0::BIGINT AS quarantined_rows FROM orders")
+@query("SELECT count(*) AS total_rows, count(*) * 3 AS total_cells, 2 * count_if(o_orderkey % 3 = 0)::BIGINT + count_if(o_orderkey % 5 = 0)::BIGINT AS n_changes, count_if(o_orderkey % 3 = 0)::BIGINT AS quarantined_rows FROM orders")
 def sink_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A negative debit is moved, which logs both sides, and leaves an empty amount,
+    which is no decimal."""
     return spark.read.json(f"{_written(spark, sf_dir)}/metrics.json", multiLine=True, schema="total_rows long, total_cells long, n_changes long, quarantined_rows long")
 
 
@@ -1199,7 +1221,7 @@ def sink_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("run_id", F.length("idempotency_key").cast("long").alias("key_length"), F.col("source").isNotNull().alias("has_source"), F.col("options.edit_cap_pct").alias("edit_cap_pct"), F.lit(True).alias("ran"))
 
 
-@query("SELECT unnest(['total_rows', 'clean_rows', 'quarantined_rows']) AS figure, unnest([n, n, 0]) AS value FROM (SELECT count(*) AS n FROM orders)")
+@query("SELECT unnest(['total_rows', 'clean_rows', 'quarantined_rows']) AS figure, unnest([n, n - bad, bad]) AS value FROM (SELECT count(*) AS n, count_if(o_orderkey % 3 = 0)::BIGINT AS bad FROM orders)")
 def sink_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of the report, read from its table."""
     lines = spark.read.text(f"{_written(spark, sf_dir)}/summary.md")

@@ -9,12 +9,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 #: Events: of a run at a time, ``kind`` one of started, heartbeat, progress, completed.
 EVENT = "run_id string, at timestamp, kind string, worker_id string, phase string, percent int, status string"
 #: What comes out: a run that completed or timed out, with what was known of it.
 OUTCOME = "run_id string, outcome string, at timestamp, worker_id string, phase string, percent int, n_events long"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 _STATE = "worker_id string, phase string, percent int, last_ms long, n_events long, done boolean"
 
 
@@ -31,10 +32,10 @@ class _Run(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         worker, phase, percent, last, n, done = self.state.get() if self.state.exists() else (None, None, None, None, 0, False)
-        events = pd.concat(list(rows)).sort_values(["at", "kind"], kind="stable")
+        events = pd.concat(list(rows)).sort_values(["ms", "kind"], kind="stable")
         out = []
         for e in events.itertuples(index=False):
-            ms = int(e.at.timestamp() * 1000)
+            ms = int(e.ms)
             if done:
                 continue
             if last is not None and ms - last > self.timeout_ms:
@@ -66,7 +67,7 @@ class _Run(StatefulProcessor):
             yield self._row(key, "timed_out", last + self.timeout_ms, worker, phase, percent, n)
 
     def _row(self, key, outcome: str, ms: int, worker, phase, percent, n: int) -> pd.DataFrame:
-        return pd.DataFrame({"run_id": [key[0]], "outcome": [outcome], "at": [pd.Timestamp(ms, unit="ms")], "worker_id": [worker], "phase": [phase], "percent": pd.array([percent], "Int32"), "n_events": [n]})
+        return pd.DataFrame({"run_id": [key[0]], "outcome": [outcome], "ms": [ms], "worker_id": [worker], "phase": [phase], "percent": pd.array([percent], "Int32"), "n_events": [n]})
 
     def close(self) -> None:
         pass
@@ -77,16 +78,20 @@ def outcomes(events: DataFrame, timeout_s: int = 300, late_s: int = 0) -> DataFr
     a run that lasts longer than ``timeout_s`` by event time.  Events of a run come
     in any order within ``late_s``; later ones are dropped by the watermark.  Null
     run ids are left out.  Needs the RocksDB state store."""
-    known = events.filter("run_id is not null and at is not null").withWatermark("at", f"{late_s} seconds")
-    return known.groupBy("run_id").transformWithStateInPandas(_Run(timeout_s), outputStructType=OUTCOME, outputMode="Append", timeMode="EventTime")
-
-
-def silences(events: DataFrame, timeout_s: int = 300) -> DataFrame:
-    """The same time-outs from a table of all events of one worker for each run, for
-    comparison: (run_id, at)."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("run_id").orderBy("at")
-    gap = F.unix_millis(F.lead("at").over(w)) - F.unix_millis("at")
-    over = events.withColumn("gap", gap).filter((F.col("kind") != "completed") & (F.col("gap").isNull() | (F.col("gap") > timeout_s * 1000)))
-    return over.select("run_id", F.timestamp_millis(F.unix_millis("at") + timeout_s * 1000).alias("at"))
+    known = events.filter("run_id is not null and at is not null").withWatermark("at", f"{late_s} seconds").withColumn("ms", F.unix_millis("at"))
+    kind = OUTCOME.replace("at timestamp", "ms long")
+    out = known.groupBy("run_id").transformWithStateInPandas(_Run(timeout_s), outputStructType=kind, outputMode="Append", timeMode="EventTime")
+    return out.select("run_id", "outcome", F.timestamp_millis("ms").alias("at"), "worker_id", "phase", "percent", "n_events")
+
+
+def track(events: DataFrame, out: str, checkpoint: str, timeout_s: int = 300, late_s: int = 0, available_now: bool = True) -> StreamingQuery:
+    """Writes the outcomes of a stream of events as Parquet.  The state store that
+    timers need is chosen for this query alone."""
+    conf = events.sparkSession.conf
+    before = conf.get(_STORE, None)
+    conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        writer = outcomes(events, timeout_s, late_s).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
+    finally:
+        conf.unset(_STORE) if before is None else conf.set(_STORE, before)
