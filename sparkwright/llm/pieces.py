@@ -17,11 +17,11 @@ from sparkwright.llm.text import slices, texts
 MARK = "▁"
 _CHUNKS = re.compile(" +[^ ]*")
 
-#: Most chunks of the table that is sent to all tasks.  Chunks of the fewest
+#: Most chunks of the table that is sent to all tasks; some chunks of the fewest
 #: blocks stay out of a table that would be larger.
 TABLE_CHUNKS = 500_000
-#: Distinct chunks that a task notes down, or remembers of those that its own
-#: block alone holds; past it it starts anew.
+#: Distinct chunks that a task notes down, or remembers of those that are not in
+#: the table; past it it starts anew.
 BLOCK_CHUNKS = 200_000
 #: Longer chunks are segmented where they stand.
 TABLE_CHARS = 64
@@ -74,10 +74,10 @@ def segmenter(path: str) -> Segmenter:
 
 
 def chunk_table(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """(chunk, ids) of the distinct chunks that at least two blocks of ``docs``
-    (its partitions) hold, each segmented once.  A task sends the distinct chunks
-    of its block.  At most ``TABLE_CHUNKS`` rows: the number of blocks from which
-    a chunk is in the table is set by how many chunks there are of each."""
+    """(chunk, ids) of the distinct chunks of ``docs``, each segmented once.  A task
+    sends the distinct chunks of its block (a partition).  At most ``TABLE_CHUNKS``
+    rows: those that most blocks hold come first, and of the chunks of as many
+    blocks as are not all taken, a share by their hashes."""
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
@@ -95,15 +95,17 @@ def chunk_table(docs: DataFrame, model: str, text_col: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(ids, pa.binary())], ["chunk", "ids"])
 
     each = docs.select(named(text_col).alias("text")).mapInArrow(distinct, "chunk string")
-    counts = written(each.groupBy("chunk").agg(F.count(F.lit(1)).alias("blocks")).filter("blocks > 1"), "chunks")
+    counts = written(each.groupBy("chunk").agg(F.count(F.lit(1)).alias("blocks")), "chunks")
     sizes = sorted(((r.blocks, r["count"]) for r in counts.groupBy("blocks").count().collect()), reverse=True)  # a row for each number of blocks
-    least, total = sizes[0][0] + 1 if sizes else 2, 0
+    room, taken = TABLE_CHUNKS, F.lit(False)
     for blocks, n in sizes:
-        total += n
-        if total > TABLE_CHUNKS:
+        # Nine tenths of the room that is left, since hashes only share out about so many.
+        share = F.lit(True) if n <= room else F.pmod(F.xxhash64("chunk"), F.lit(1 << 40)) < F.lit(int(0.9 * room / n * (1 << 40)))
+        taken = taken | ((F.col("blocks") == blocks) & share)
+        room -= n
+        if room <= 0:
             break
-        least = blocks
-    return written(counts.filter(F.col("blocks") >= least).select("chunk").mapInArrow(segment, "chunk string, ids binary"), "chunk-table")
+    return written(counts.filter(taken).select("chunk").mapInArrow(segment, "chunk string, ids binary"), "chunk-table")
 
 
 def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", bos: bool = True, eos: bool = True) -> DataFrame:
@@ -112,8 +114,8 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     Two passes over the texts, which themselves are never shuffled: one makes the
     ``chunk_table``, of bounded size and so sent to all tasks; the other joins its
-    ids back by position.  A chunk that one block alone holds is segmented in
-    that block, and remembered there, up to ``BLOCK_CHUNKS`` of them.
+    ids back by position.  A chunk that the table has no room for is segmented in
+    each block that holds it, and remembered there, up to ``BLOCK_CHUNKS`` of them.
 
     Null text: empty (begin and end ids only, decodes to empty).  Null ids stay
     null; repeated rows give repeated results; an empty table gives an empty

@@ -85,14 +85,19 @@ def test_queries_on_a_whole_table(spark):
     assert counts.keys() == digests.keys() == texts.keys()
 
 
-def test_chunk_table_holds_what_blocks_share(spark, monkeypatch):
-    docs = spark.createDataFrame([(k, f"shared words own{k} own{k}") for k in range(8)], "doc_id long, text string").repartition(4)
-    table = {r.chunk: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in pieces.chunk_table(docs, PIECES).collect()}
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_chunk_table_holds_each_distinct_chunk_once(spark, monkeypatch, blocks):
+    """At any number of blocks, one included; those of most blocks first where there
+    is no room for all."""
+    docs = spark.createDataFrame([(k, f"shared words own{k} own{k}") for k in range(8)], "doc_id long, text string").repartition(blocks)
+    rows = pieces.chunk_table(docs, PIECES).collect()
+    table = {r.chunk: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in rows}
     library = pieces.Segmenter(PIECES).library
-    assert table == {" shared": library.encode("shared"), " words": library.encode("words")}
-    monkeypatch.setattr(pieces, "TABLE_CHUNKS", 1)
-    assert pieces.chunk_table(docs, PIECES).count() == 0  # two chunks of as many blocks
-    assert pieces.encoded(docs, PIECES).filter("decoded like 'shared words own%'").count() == 8
+    assert len(rows) == 10 and table == {f" {w}": library.encode(w) for w in ("shared", "words", *(f"own{k}" for k in range(8)))}
+    if blocks > 1:
+        monkeypatch.setattr(pieces, "TABLE_CHUNKS", 2)
+        assert {r.chunk for r in pieces.chunk_table(docs, PIECES).collect()} == {" shared", " words"}
+        assert pieces.encoded(docs, PIECES).filter("decoded like 'shared words own%'").count() == 8
 
 
 def test_operators_on_nulls_and_repeats(spark):
