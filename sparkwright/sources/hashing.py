@@ -66,7 +66,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(spark: SparkSession, path: str, below: bool = False, whole: int = WHOLE_BYTES) -> DataFrame:
-    """(path, length, sha256) of the files at ``path``, or anywhere ``below`` it."""
+    """(path, length, sha256) of the files at ``path``, or anywhere ``below`` it.  Spark
+    reads no empty file, so those give no row."""
     at = lambda kind: spark.read.format(kind).option("recursiveFileLookup", below)
     name = F.col("_metadata.file_path")
     small = at("binaryFile").load(path).filter((F.col("length") <= whole) | F.col("path").rlike(PACKED)).select("path", "length", F.sha2("content", 256).alias("sha256"))
