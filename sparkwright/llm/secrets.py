@@ -73,7 +73,9 @@ class BlobLedger:
     """Which blobs (SHA-256 of a text) were scanned by which rule version, and
     what was found.  A Parquet table in ``path``, which need not exist yet: one
     row per pair, findings as an array of spans, empty where there were none, so
-    that a clean blob is not scanned again either."""
+    that a clean blob is not scanned again either.  Two scans at once, or one that
+    is tried again after it was written, leave a pair twice, with equal spans;
+    those who read findings take equal spans of a blob once."""
 
     SCHEMA = f"blob binary, kind string, version int, spans {SPANS}"
 
@@ -146,7 +148,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     findings = ledger.scan(docs.select(named(text_col).alias("text")))
     order = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, (k, _) in enumerate(ledger.rules)])
     flat = findings.select("blob", order.alias("rank"), "kind", F.explode("spans").alias("s")).select("blob", F.struct(F.col("s.start").alias("start"), "rank", "kind", F.col("s.stop").alias("stop")).alias("x"))
-    by_blob = written(flat.groupBy("blob").agg(F.sort_array(F.collect_list("x")).alias("found")), "findings")
+    by_blob = written(flat.groupBy("blob").agg(F.sort_array(F.collect_set("x")).alias("found")), "findings")
     paths = docs.select(named(id_col).cast("long").alias("doc_id"), _blob(named(text_col)).alias("blob"))
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int>>")
     return paths.join(by_blob, "blob", "left").select("doc_id", "blob", F.coalesce("found", none).alias("found"))
@@ -173,7 +175,7 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     ledger = ledger or BlobLedger(docs.sparkSession)
     findings = ledger.scan(docs.select(named(text_col).alias("text")))
     flat = findings.select("blob", F.explode("spans").alias("s")).select("blob", F.struct("s.start", "s.stop").alias("x"))
-    by_blob = flat.groupBy("blob").agg(F.sort_array(F.collect_list("x")).alias("found"))
+    by_blob = flat.groupBy("blob").agg(F.sort_array(F.collect_set("x")).alias("found"))
     # Spans joined where they overlap: the state is (joined spans, open start, open end).
     start = F.struct(F.array().cast(SPANS).alias("done"), F.lit(-1).alias("a"), F.lit(-1).alias("b"))
     closed = lambda s: F.when(s.a < 0, s.done).otherwise(F.concat(s.done, F.array(F.struct(s.a.alias("start"), s.b.alias("stop")))))

@@ -52,6 +52,18 @@ def base_spans(text):
     return sorted(out)
 
 
+def test_a_scan_that_is_written_twice_counts_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "token = abcdef123 secret: zzzzzz9"), (2, "clean")], "doc_id long, text string")
+    path = str(tmp_path / "ledger")
+    secrets.BlobLedger(spark, path).scan(docs)
+    spark.read.parquet(path).write.mode("append").parquet(str(tmp_path / "copy"))
+    spark.read.parquet(str(tmp_path / "copy")).write.mode("append").parquet(path)
+    got = {r.doc_id: r.found for r in secrets.secret_spans(docs, ledger=secrets.BlobLedger(spark, path)).collect()}
+    assert [(x.start, x.kind) for x in got[1]] == [(0, "assign"), (18, "assign")] and got[2] == []
+    left = secrets.redacted(docs, ledger=secrets.BlobLedger(spark, path)).collect()
+    assert {r.doc_id: r.text for r in left}[1].count("[SECRET]") == 2
+
+
 def test_secrets(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
