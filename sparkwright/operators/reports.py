@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkwright.operators.checks import CAP, CONFIDENCE, CONTRACT, ERRORS, PARSE, VALIDATION
+from sparkwright.sources.scratch import stored
 
 CATEGORIES = (VALIDATION, PARSE, CONTRACT, CONFIDENCE, CAP)
 
@@ -90,7 +91,8 @@ def remediation_report(errors: DataFrame, examples: int = 5) -> DataFrame:
         for w in words:
             hit = hit | low.contains(w)
         chain = chain.when(hit, F.lit(k))
-    rows = errors.select(chain.alias("k"), "row_number").filter("k is not null").distinct()
+    # Written once: counts and examples both come from it, so errors are made once.
+    rows = stored(errors.select(chain.alias("k"), "row_number").filter("k is not null").distinct())
     counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("affected_rows"))
     spark = errors.sparkSession
     said = spark.createDataFrame([(k, r[1], r[2], r[3]) for k, r in enumerate(REMEDIES)], "k int, issue string, priority string, recommendation string")

@@ -15,15 +15,22 @@ from sparkwright.plans.ledger import run
 from sparkwright.sources.sinks import write_run
 
 
+def run_name(path: str, inbox: str) -> str:
+    """A file's place below the inbox, so files of one name in several folders are
+    runs of their own."""
+    below = path.rstrip("/").split("/" + inbox.strip("/").rsplit("/", 1)[-1] + "/", 1)[-1]
+    return below.removesuffix(".csv").replace("/", "-")
+
+
 def watch(spark: SparkSession, inbox: str, out: str, checkpoint: str, contract: TableContract | None = None, options: RunOptions = RunOptions(), mapper: Callable | None = None, available_now: bool = True, store: str | None = None) -> StreamingQuery:
-    """Cleans every CSV file that lands in ``inbox``.  The checkpoint is what
+    """Cleans every CSV file that lands in ``inbox`` or a folder of it.  The checkpoint is what
     claims a file: each goes through exactly one committed batch, and a batch
     that fails is tried again.  With ``store``, artifacts are registered there."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.csv").load(inbox).select("path", "length")
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(inbox).select("path", "length")
 
     def process(batch: DataFrame, batch_id: int) -> None:
         for r in batch.select("path").orderBy("path").collect():  # names of the new files
-            name = r.path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".csv")
+            name = run_name(r.path, inbox)
             result = run(r.path, contract, options, spark=spark, mapper=mapper, run_id=name)
             try:
                 write_run(result, f"{out}/{name}", store=store)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkwright.operators import profiles, registry, versions
 from sparkwright.sources import hashing, headers, quoted, scratch, sinks, tabular
 from sparkwright.streaming import heartbeats
+from sparkwright.streaming.runs import run_name
 
 
 @pytest.mark.parametrize("partitions", [8, 200])
@@ -188,3 +189,7 @@ def test_runs_as_a_stream(spark, tmp_path):
     assert sorted(map(tuple, out)) == [
         ("a", "timed_out", "2024-01-01 00:07:00", "w1", "rules", 50, 3), ("b", "succeeded", "2024-01-01 00:03:00", "w2", None, None, 2), ("c", "succeeded", "2024-01-01 01:00:10", "w3", None, None, 2),
     ]
+
+
+def test_files_of_one_name_are_runs_of_their_own():
+    assert run_name("file:/data/inbox/a/x.csv", "/data/inbox") == "a-x" and run_name("file:/data/inbox/x.csv", "/data/inbox/") == "x"
