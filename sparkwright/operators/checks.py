@@ -103,6 +103,12 @@ def majority_has_keys(df: DataFrame) -> DataFrame:
     return key_counts(df).agg((2 * F.coalesce(valid, F.lit(0)) > F.coalesce(F.sum("__n"), F.lit(0))).alias("__majority"))
 
 
+def duplicate_counts(df: DataFrame, *key: str) -> DataFrame:
+    """Each key of more than one row, with the number ``n`` of its rows; counted in each
+    task before the shuffle, so one key of very many rows is no burden."""
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
 def repeated_keys(df: DataFrame) -> DataFrame:
     """Valid identifiers of more than one row."""
     return key_counts(df).filter("__n > 1 and __key <> ''").select("__key")

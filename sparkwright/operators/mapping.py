@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkwright.operators.registry import register
+
 KEY = ("column_name", "variant_value", "model_id")
 
 
@@ -16,6 +18,24 @@ def latest(mappings: DataFrame, approved_only: bool = False) -> DataFrame:
     return best.select(*KEY, "x.canonical_value", "x.confidence", "x.created_at")
 
 
+def store(new: DataFrame, path: str, part: str) -> None:
+    """Writes accepted mappings as a part (a run, a day) of a stored dictionary, in
+    place of what was stored under that name before; ``stored`` reads all parts."""
+    register(new.withColumn("part", F.lit(part)), path, "part")
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("part")
+
+
+def applied(df: DataFrame, column: str, table: dict[str, str]) -> DataFrame:
+    """``df`` with the values of a column that a small fixed dictionary has replaced;
+    the dictionary goes to all tasks as a table."""
+    names = df.sparkSession.createDataFrame(list(table.items()), "__variant string, __canonical string")
+    out = df.join(F.broadcast(names), F.col(f"`{column}`") == F.col("__variant"), "left")  # the caller's literal dictionary
+    return out.select(*[F.coalesce("__canonical", F.col(f"`{c}`")).alias(c) if c == column else F.col(f"`{c}`") for c in df.columns])
+
+
 def superseded(mappings: DataFrame) -> DataFrame:
     """All versions; each is closed by the creation of the next."""
     w = W.partitionBy(*KEY).orderBy("created_at", "canonical_value")

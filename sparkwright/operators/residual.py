@@ -162,6 +162,19 @@ def apply_mappings(df: DataFrame, mappings: DataFrame, columns: tuple[str, ...],
     return df
 
 
+def to_canonical(mapped: DataFrame, contract: TableContract, columns: tuple[str, ...]) -> DataFrame:
+    """The mappings (column, value, mapped) whose target is a canonical value of their
+    column; others, and null targets, are not kept."""
+    known = canonical_values(mapped.sparkSession, contract, columns).select("column", F.col("canonical").alias("mapped"))
+    return mapped.join(F.broadcast(known), ["column", "mapped"], "left_semi")  # a contract's lists
+
+
+def canonical_cells(df: DataFrame, contract: TableContract, column: str) -> DataFrame:
+    """(row_number, value) of the rows whose value in a column is canonical."""
+    known = canonical_values(df.sparkSession, contract, (column,)).select(F.col("canonical").alias("value"))
+    return long_values(df, (column,)).join(F.broadcast(known), "value", "left_semi").select("row_number", "value")  # a contract's list
+
+
 def planned(df: DataFrame, contract: TableContract, options: RunOptions) -> tuple[DataFrame, DataFrame]:
     """(batches to map, counts per column): the planning of one run."""
     found, counts = residual_facts(df, contract, options.map_columns, options.edit_cap_pct)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.contract import RunOptions, ledger_contract
 from sparkwright.functions import amounts, dates, identifiers
-from sparkwright.operators import checks, mapping, patches, profiles, profiling, registry, reports, residual, versions
+from sparkwright.operators import checks, lateral, mapping, patches, profiles, profiling, registry, reports, residual, versions
 from sparkwright.operators.rules import DEPARTMENTS, apply_rules, change_log, rules_summary
 from sparkwright.plans import ledger, oracle
 from sparkwright.plans.fixture import COLUMNS, messy_ledger, strict_contract
@@ -489,7 +489,7 @@ def win_primary_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_orderkey::BIGINT AS l_orderkey, l_linenumber::BIGINT AS l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def win_duplicate_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"))
-    return lines.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return checks.duplicate_counts(lines, "l_orderkey", "l_linenumber")
 
 
 @query(with_(STAGES) + rf"SELECT row_number FROM {LAST} WHERE txn IS NULL OR NOT regexp_full_match(upper(trim(txn)), 'TXN-\d+')")
@@ -544,8 +544,7 @@ def canonical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(STAGES) + f"SELECT row_number, dept AS value FROM {LAST} WHERE dept IN {oracle._CANON['Department']}")
 def semi_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = residual.canonical_values(spark, ledger_contract(), ("Department",))
-    return residual.long_values(_ruled(spark, sf_dir), ("Department",)).join(F.broadcast(known.select(F.col("canonical").alias("value"))), "value", "left_semi").select("row_number", "value")
+    return residual.canonical_cells(_ruled(spark, sf_dir), ledger_contract(), "Department")
 
 
 @query(with_(STAGES, RESIDUAL) + "SELECT row_number, value FROM cells WHERE \"column\" = 'Department'")
@@ -620,8 +619,7 @@ def parse_mapper_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(STAGES, RESIDUAL, MAPPED) + f"SELECT \"column\", value, mapped FROM m WHERE mapped IN {oracle._CANON['Department']} OR mapped IN {oracle._CANON['Account Name']}")
 def contract_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapped = residual.map_by_rules(_found(spark, sf_dir))
-    known = residual.canonical_values(spark, ledger_contract(), MAP_COLUMNS).select("column", F.col("canonical").alias("mapped"))
-    return mapped.join(F.broadcast(known), ["column", "mapped"], "left_semi").select("column", "value", "mapped")
+    return residual.to_canonical(mapped, ledger_contract(), MAP_COLUMNS).select("column", "value", "mapped")
 
 
 def _mapped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -687,9 +685,8 @@ def planner_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(_F) + f"SELECT row_number, coalesce({oracle._dictionary('trim(dept)', DEPARTMENTS)}, trim(dept)) AS department FROM f")
 def join_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.createDataFrame(list(DEPARTMENTS.items()), "value string, canonical string")
-    rows = messy_ledger(spark, sf_dir).select("row_number", F.trim("Department").alias("value"))
-    return rows.join(F.broadcast(table), "value", "left").select("row_number", F.coalesce("canonical", "value").alias("department"))  # the fixed dictionary
+    rows = messy_ledger(spark, sf_dir).select("row_number", F.trim("Department").alias("department"))
+    return mapping.applied(rows, "department", DEPARTMENTS)
 
 
 # --- the mapping dictionary -------------------------------------------------
@@ -785,9 +782,12 @@ def cache_hit_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(_V, _NOW) + "SELECT variant_value, model_id, canonical_value FROM now")
 def cache_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored in two parts, one of them twice, and read."""
     path = f"{sinks.scratch(spark)}/dictionary"
-    _versions(spark, sf_dir).write.mode("append").parquet(path)
-    return mapping.latest(spark.read.parquet(path)).select("variant_value", "model_id", "canonical_value")
+    new = _versions(spark, sf_dir)
+    for part, some in (("one", "is_approved"), ("two", "not is_approved"), ("two", "not is_approved")):
+        mapping.store(new.filter(some), path, part)
+    return mapping.latest(mapping.stored(spark, path)).select("variant_value", "model_id", "canonical_value")
 
 
 # --- patches ----------------------------------------------------------------
@@ -958,7 +958,7 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(_R) + "SELECT status, count(*) AS n FROM runs WHERE created_at > TIMESTAMP '1997-12-01' GROUP BY 1")
 def queue_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(spark, sf_dir).filter(F.col("created_at") > F.lit("1997-12-01").cast("timestamp")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return runs.by_state(_runs(spark, sf_dir), "1997-12-01")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 300 SECOND THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -1125,6 +1125,12 @@ def scan_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabular.read_table(spark, path).select("row_number", F.col("Key").alias("key"), F.col("Remark").alias("remark"))
 
 
+@query(with_(STAGES, ERRORS) + "SELECT row_number, \"column\", error_type, message FROM e")
+def error_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors of each row by a table function, through SQL."""
+    return lateral.error_rows(_checked(spark, sf_dir), "row_number")
+
+
 def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of a ledger, merged from the stored states of two parts of it."""
     store = f"{sinks.scratch(spark)}/profiles"

@@ -64,6 +64,11 @@ def queue_positions(runs: DataFrame) -> DataFrame:
     return queued.join(moments.select("created_at", (F.col("before") + F.col("within") + 1).alias("position")), "created_at").select("run_id", "created_at", "position")
 
 
+def by_state(runs: DataFrame, since: str) -> DataFrame:
+    """(status, n) of runs created after a moment."""
+    return runs.filter(F.col("created_at") > F.lit(since).cast("timestamp")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
 def list_runs(runs: DataFrame, status: str | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
     rows = runs if status is None else runs.filter(F.col("status") == status)
     return rows.orderBy(F.desc("created_at"), "run_id").offset(offset).limit(max(1, min(limit, 100)))
