@@ -296,7 +296,12 @@ def weight(n_docs: int, df: int) -> int:
 
 def search(docs: DataFrame, items: DataFrame, k: int = 50, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index: DataFrame | None = None) -> DataFrame:
     """Each item's ``k`` best rows of ``docs`` with a score above 0: ``item_id,
-    rank, doc_id, score``; the README of the operator's contract gives the score.
+    rank, doc_id, score``.  Terms are maximal runs of ASCII letters, digits and all
+    other characters beyond ASCII, A-Z in lower case.  With N documents that hold a
+    term, L terms in all of them, n in one of them, df documents that hold a term
+    and tf of it in one, the score sums w * (10**9 * tf div (1000 * tf + 20 * m))
+    over an item's terms, w = floor(1000 * ln((2N + 2) / (2df + 1))) in doubles and
+    m = 50 + (50 * n * N) div L in whole numbers.
 
     Items are searched in groups whose (item, term) pairs measure about
     ``GROUP_BYTES``: tasks get one group's terms and weights, never more than that
