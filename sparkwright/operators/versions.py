@@ -23,11 +23,13 @@ COLUMNS = ("column_name", "variant_value", "model_id", "canonical_value", "confi
 @dataclass(frozen=True)
 class VersionStore:
     """Tables ``{name}_0``, ``{name}_1`` and so on in the session's catalog, of which
-    the last is the one in use."""
+    the last is the one in use.  Their files are in ``folder``, if one is given,
+    else in the warehouse."""
 
     spark: SparkSession
     name: str
     buckets: int = 32
+    folder: str | None = None
 
     def _generation(self) -> int:
         tails = [t.name.removeprefix(f"{self.name}_") for t in self.spark.catalog.listTables() if t.name.startswith(f"{self.name}_")]
@@ -38,12 +40,18 @@ class VersionStore:
         return f"{self.name}_{max(0, self._generation())}"
 
     def _write(self, rows: DataFrame, table: str) -> None:
-        dealt = rows.select(*COLUMNS).repartition(self.buckets, *BUCKET)  # a file for each bucket
-        dealt.write.bucketBy(self.buckets, *BUCKET).sortBy(*BUCKET).mode("append").format("parquet").saveAsTable(table)
+        writer = rows.write.bucketBy(self.buckets, *BUCKET).sortBy(*BUCKET).mode("append").format("parquet")
+        (writer.option("path", f"{self.folder}/{table}") if self.folder else writer).saveAsTable(table)
+
+    def _drop(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        if self.folder:
+            target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}")
+            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
     def append(self, versions: DataFrame) -> None:
         """Adds versions; a version that is there already changes nothing."""
-        self._write(versions, self.table)
+        self._write(versions.select(*COLUMNS).repartition(self.buckets, *BUCKET), self.table)  # a file for each bucket
 
     def current(self) -> DataFrame:
         """The newest version of each key, ties to the greater target."""
@@ -52,9 +60,8 @@ class VersionStore:
     def compact(self) -> None:
         """Leaves the newest version of each key."""
         old = self._generation()
-        current = self.current()
-        current.write.bucketBy(self.buckets, *BUCKET).sortBy(*BUCKET).format("parquet").saveAsTable(f"{self.name}_{old + 1}")
-        self.spark.sql(f"DROP TABLE {self.name}_{old}")
+        self._write(self.current(), f"{self.name}_{old + 1}")
+        self._drop(f"{self.name}_{old}")
 
     def lookup(self, values: DataFrame) -> DataFrame:
         """(column, value) with each model's target, where the dictionary has one."""
@@ -63,4 +70,4 @@ class VersionStore:
 
     def drop(self) -> None:
         for k in range(self._generation() + 1):
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{k}")
+            self._drop(f"{self.name}_{k}")

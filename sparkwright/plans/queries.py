@@ -1171,7 +1171,7 @@ def detect_primary_key_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(_V, _UPSERT, _NOW.replace("FROM v)", "FROM u)")) + "SELECT variant_value, model_id, canonical_value, confidence FROM now")
 def mapping_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions in buckets: appended, compacted, appended to, read."""
-    store = versions.VersionStore(spark, f"mappings_{uuid.uuid4().hex[:12]}", 4)
+    store = versions.VersionStore(spark, f"mappings_{uuid.uuid4().hex[:12]}", 4, sinks.scratch(spark))
     all_ = _versions(spark, sf_dir)
     store.append(all_.filter("is_approved"))
     store.append(all_.filter("not is_approved"))

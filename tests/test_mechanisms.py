@@ -137,8 +137,8 @@ def test_profiles_of_two_halves_equal_the_whole(spark, tmp_path):
     assert {r["column"] for r in profiles.unique_columns(df, whole).collect()} == {"all", "number"}
 
 
-def test_versions_are_read_without_an_exchange(spark):
-    store = versions.VersionStore(spark, "versions_under_test", 4)
+def test_versions_are_read_without_an_exchange(spark, tmp_path):
+    store = versions.VersionStore(spark, "versions_under_test", 4, str(tmp_path))
     kind = "column_name string, variant_value string, model_id string, canonical_value string, confidence double, created_at date"
     row = lambda v, c, day: ("Department", v, "m", c, 0.9, day)
     import datetime
