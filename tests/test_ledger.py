@@ -233,3 +233,23 @@ def test_answers_keep_to_their_contract(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
     kept = df.select("k", residual.checked_answers(F.col("t"), ("Sales", "IT")).alias("x")).orderBy("k").collect()
     assert [len(r.x) for r in kept] == [2, 0, 0, 0, 0, 0]
+
+
+def test_a_run_keeps_one_compressed_table_and_writes_compressed_ones(spark, path, tmp_path):
+    from pathlib import Path
+
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    out = run(path, spark=spark, run_id="r3")
+    sinks.write_run(out, str(tmp_path / "r3"), store=str(tmp_path / "index3"))
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before and len(out.kept) == 1
+    stored = Path(out.kept[0].removeprefix("file:"))
+    assert stored.exists()
+    for name in ("cleaned", "errors", "errors_json", "diff", "audit"):
+        parts = [p.name for p in (tmp_path / "r3" / name).iterdir() if p.name.startswith("part-")]
+        assert parts and all(p.endswith(".gz") for p in parts)
+    kinds = {r.mime_type for r in spark.read.parquet(str(tmp_path / "index3")).filter("type in ('errors', 'diff', 'cleaned')").collect()}
+    assert kinds == {"text/csv"} and sinks.media_type("a.csv.gz") == "text/csv"
+    diff = [r.row_number for r in spark.read.option("header", True).csv(str(tmp_path / "r3/diff")).coalesce(1).collect()]
+    assert len(diff) == out.changes.count()
+    out.close()
+    assert not stored.exists()
