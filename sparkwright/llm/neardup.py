@@ -303,7 +303,8 @@ def candidates(classes: DataFrame, similarity: float) -> DataFrame:
     equal ones are.  A unit comes to one task, whole and in the order of its paths,
     so a node at any level is a run of rows, and what is compared does not depend
     on the number of partitions.  Rows that share all of a path and are still too
-    many are dealt by their ties to units, which differ from tree to tree.
+    many are dealt by their ties to units, which differ from tree to tree; in the
+    second round such units are crossed, so each two rows of different roots meet.
     """
     again = "root" in classes.columns
     kept = ["node", "sketch", "n", *(["root", "size"] if again else [])]
@@ -331,12 +332,37 @@ def _in_units(rows: DataFrame, of_tree: int) -> DataFrame:
             over = written(rows.groupBy("beginning").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > UNIT), "large-units")
             if over.isEmpty():
                 return rows.withColumn("unit", F.xxhash64("beginning")).drop("beginning")
+        if "root" in rows.columns:
+            return _crossed(rows, over)
         parts = F.ceil(F.coalesce("many", F.lit(1)) / UNIT)
         rows = rows.join(F.broadcast(over), "beginning", "left").withColumn("part", F.pmod("tie", parts)).drop("many")
         return rows.withColumn("unit", F.xxhash64("beginning", "part")).drop("beginning", "part")
     return rows.withColumn("unit", F.xxhash64("beginning")).drop("beginning")
 
 
+def _crossed(rows: DataFrame, over: DataFrame) -> DataFrame:
+    """``rows`` of (path, tie, root) with their units, where those of a beginning of
+    ``over`` are too many for one: each two of them that have different roots come to
+    a unit together.  Rows of the beginning's most frequent root, which need not meet
+    each other, are dealt to parts, and so are the rows outside it; a unit is one part
+    of either, or two parts of rows outside."""
+    half = UNIT // 2
+    kinds = rows.join(F.broadcast(over.select("beginning")), "beginning").groupBy("beginning", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = kinds.groupBy("beginning").agg(F.max(F.struct("n", "root")).alias("x"), F.sum("n").alias("all"))
+    parts = lambda n: F.ceil(n / half).cast("long")
+    most = written(most.select("beginning", F.col("x.root").alias("main"), parts(F.col("x.n")).alias("mains"), parts(F.col("all") - F.col("x.n")).alias("strays")), "large-paths")
+    meeting = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast("long").alias("a"), b.cast("long").alias("b"))
+    each = lambda n: F.filter(F.sequence(F.lit(0).cast("long"), F.col(n)), lambda k: k < F.col(n))
+    main = F.col("root") == F.col("main")
+    own = F.when(main, F.pmod("tie", "mains")).otherwise(F.pmod("tie", "strays"))
+    inside = F.transform(each("strays"), lambda k: meeting("main", F.col("own"), k))
+    outside = F.concat(F.transform(each("mains"), lambda k: meeting("main", k, F.col("own"))), F.transform(each("strays"), lambda k: meeting("stray", F.least(k, F.col("own")), F.greatest(k, F.col("own")))))
+    few = F.array(meeting("few", F.lit(0), F.lit(0)))
+    rows = rows.join(F.broadcast(most), "beginning", "left").withColumn("own", F.when(F.col("main").isNotNull(), own))
+    rows = rows.withColumn("meeting", F.explode(F.when(F.col("main").isNull(), few).when(main, inside).otherwise(outside)))
+    return rows.withColumn("unit", F.xxhash64("beginning", "meeting")).drop("beginning", "main", "mains", "strays", "own", "meeting")
+
+
 def _texts_of(digests: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """(digest, text), one row each.  A filter chooses the rows, so only texts that
     may be asked for are shuffled."""

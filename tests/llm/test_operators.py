@@ -315,6 +315,19 @@ def test_units_of_a_tree(spark, monkeypatch):
     assert len({r.unit for r in got if 10 <= r.tie < 40}) == 20 and len({r.unit for r in got if r.tie >= 100}) == 3
 
 
+def test_units_of_equal_paths_are_crossed(spark, monkeypatch):
+    """Of too many rows with one path, each two of different roots share a unit."""
+    monkeypatch.setattr(neardup, "UNIT", 8)
+    path = lambda k: bytes([0, k]) + bytes(2 * neardup.DEPTH - 1)
+    rows = [(path(1), k, 0 if k < 30 else k) for k in range(40)] + [(path(2), 100 + k, 100 + k) for k in range(20)] + [(path(3), 200 + k, 7) for k in range(20)] + [(path(4), 300 + k, 300) for k in range(3)]
+    units = defaultdict(set)
+    for r in neardup._in_units(spark.createDataFrame(rows, "path binary, tie long, root long"), len(rows)).collect():
+        units[r.unit].add(r.tie)
+    met = {(a, b) for u in units.values() for a in u for b in u}
+    assert all((x, y) in met for p, x, r in rows for q, y, s in rows if p == q and r != s)
+    assert all(len(u) <= 8 for u in units.values()) and {300, 301, 302} in units.values()
+
+
 def test_near_copies_in_one_large_group(spark):
     rng = np.random.default_rng(1)
     base = [f"w{k}" for k in range(200)]
