@@ -253,3 +253,34 @@ def test_a_run_keeps_one_compressed_table_and_writes_compressed_ones(spark, path
     assert len(diff) == out.changes.count()
     out.close()
     assert not stored.exists()
+
+
+def test_tasks_of_rules_hold_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tabular, "TASK_ROWS", 100)
+    spark.range(2000).selectExpr("id AS o_orderkey", "id AS o_custkey", "timestamp'1995-01-01' AS o_orderdate", "1.5D AS o_totalprice", "'5-LOW' AS o_orderpriority").repartition(6).write.parquet(str(tmp_path / "orders.parquet"))
+    held = messy_ledger(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in held) == 2000 and max(r["count"] for r in held) <= 110
+
+
+def test_reports_of_rows_make_no_second_pass(spark):
+    from sparkwright.plans import queries
+
+    for name in ("sink_errors", "join_attempted_fixes", "set_minus_rows", "run_metrics"):
+        df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        df.collect()
+        assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan") <= 2, name
+
+
+def test_a_replaced_run_makes_its_rows_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(10, numPartitions=2).mapInArrow(told, "id long").withColumn("run_id", F.lit("x"))
+    registry.replace(rows, str(tmp_path / "s"), "x")
+    assert made.value == 10 and spark.read.parquet(str(tmp_path / "s")).count() == 10
+    registry.replace(rows.filter("id < 0"), str(tmp_path / "s"), "x")
+    assert not (tmp_path / "s/run_id=x").exists()
