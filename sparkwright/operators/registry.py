@@ -7,7 +7,7 @@ import dataclasses
 import json
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.contract import ColumnSpec, TableContract
@@ -29,16 +29,12 @@ def register(entries: DataFrame, store: str, *by: str) -> None:
 
 def replace(entries: DataFrame, store: str, run_id: str) -> None:
     """``register`` for one run, which may have no rows this time: then what it wrote
-    before goes."""
-    rows = entries.filter(F.col("run_id") == run_id)
-    if rows.isEmpty():
-        spark = entries.sparkSession
+    before goes.  The write counts its rows, so ``entries`` are made once."""
+    spark, seen = entries.sparkSession, Observation()
+    register(entries.filter(F.col("run_id") == run_id).observe(seen, F.count(F.lit(1)).alias("n")), store)
+    if not seen.get["n"]:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/run_id={_folder(run_id)}")
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        if not any(True for _ in _children(spark, store)):
-            rows.write.mode("append").partitionBy("run_id").parquet(store)
-    else:
-        register(rows, store)
 
 
 def _folder(value: str) -> str:
