@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.contract import ColumnSpec, TableContract
 from sparkwright.operators import checks
-from sparkwright.sources import scratch
+from sparkwright.sources import scratch, sinks
 
 CONTRACT = TableContract((ColumnSpec("Transaction ID"),))
 
@@ -68,3 +68,30 @@ def test_what_is_stored_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not names() - before and kept.count() == 1000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_the_task_that_writes_one_file_sorts_nothing(spark, conf, tmp_path):
+    from sparkwright.plans.queries import _ledger_file
+
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sc = spark.sparkContext
+    n = 30_000
+    (tmp_path / "in").mkdir()
+    spark.range(n).select(F.col("id").alias("o_orderkey"), (F.col("id") * 1.5).alias("o_totalprice")).orderBy(F.xxhash64("o_orderkey")).write.parquet(str(tmp_path / "in/orders.parquet"))
+    sc.setJobGroup("one file", "one file")
+    try:
+        _ledger_file(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    [file] = (tmp_path / "out").glob("*.txt")
+    head, *lines = file.read_text().splitlines()
+    assert head == "txn_id,debit_amt,dept" and [int(x.split(",")[0][4:]) for x in lines] == list(range(n))
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("one file") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    found = [(s.numTasks(), s.peakExecutionMemory()) for s in (sc._jsc.sc().statusStore().lastStageAttempt(k) for k in stages)]
+    assert max(m for _, m in found) > 0 and all(m == 0 for tasks, m in found if tasks == 1)
+
+
+def test_lines_of_one_file_may_be_empty(spark, tmp_path):
+    sinks.one_text(spark.createDataFrame([("b",), ("",), ("a",)], "value string").orderBy("value"), str(tmp_path / "t"), "head")
+    [file] = (tmp_path / "t").glob("*.txt")
+    assert file.read_text() == "head\n\na\nb\n"
