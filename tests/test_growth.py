@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkwright.contract import ColumnSpec, TableContract
+from sparkwright.functions import dates, strings
 from sparkwright.operators import checks
 from sparkwright.sources import scratch, sinks
 
@@ -95,3 +96,11 @@ def test_lines_of_one_file_may_be_empty(spark, tmp_path):
     sinks.one_text(spark.createDataFrame([("b",), ("",), ("a",)], "value string").orderBy("value"), str(tmp_path / "t"), "head")
     [file] = (tmp_path / "t").glob("*.txt")
     assert file.read_text() == "head\n\na\nb\n"
+
+
+def test_ends_and_dates_are_as_the_patterns_say(spark):
+    odd = [chr(i) for i in range(0x3100)] + ["﻿", "​"]
+    d = spark.createDataFrame([(f"{c}a{c}b{c}",) for c in odd] + [("",), (" ",), (" \t\n",), (None,)], "t string")
+    assert d.filter(~strings.stripped(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+    e = spark.createDataFrame([(f"{y}-{m:02d}-{x:02d}{end}",) for y in ("0000", "1900", "2000", "2023") for m in range(14) for x in range(33) for end in ("", "\n", " ")] + [("",), (None,), ("none",)], "t string")
+    assert e.filter(~dates.is_date(F.col("t")).eqNullSafe(dates.parsed_date(F.col("t")).isNotNull())).count() == 0
