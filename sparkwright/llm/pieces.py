@@ -97,14 +97,17 @@ def chunk_table(docs: DataFrame, model: str, text_col: str = "text") -> DataFram
     each = docs.select(named(text_col).alias("text")).mapInArrow(distinct, "chunk string")
     counts = written(each.groupBy("chunk").agg(F.count(F.lit(1)).alias("blocks")), "chunks")
     sizes = sorted(((r.blocks, r["count"]) for r in counts.groupBy("blocks").count().collect()), reverse=True)  # a row for each number of blocks
-    room, taken = TABLE_CHUNKS, F.lit(False)
+    # All chunks of more than ``edge`` blocks, and of those of ``edge`` a share: one comparison,
+    # since a condition for each number of blocks, which are hundreds, would be too deep a tree.
+    room, edge, share = TABLE_CHUNKS, 0, F.lit(True)
     for blocks, n in sizes:
-        # Nine tenths of the room that is left, since hashes only share out about so many.
-        share = F.lit(True) if n <= room else F.pmod(F.xxhash64("chunk"), F.lit(1 << 40)) < F.lit(int(0.9 * room / n * (1 << 40)))
-        taken = taken | ((F.col("blocks") == blocks) & share)
-        room -= n
-        if room <= 0:
+        if n >= room:
+            edge = blocks
+            if n > room:  # nine tenths of the room that is left, since hashes only share out about so many
+                share = F.pmod(F.xxhash64("chunk"), F.lit(1 << 40)) < F.lit(int(0.9 * room / n * (1 << 40)))
             break
+        room -= n
+    taken = (F.col("blocks") > edge) | ((F.col("blocks") == edge) & share)
     return written(counts.filter(taken).select("chunk").mapInArrow(segment, "chunk string, ids binary"), "chunk-table")
 
 

@@ -100,6 +100,22 @@ def test_chunk_table_holds_each_distinct_chunk_once(spark, monkeypatch, blocks):
         assert pieces.encoded(docs, PIECES).filter("decoded like 'shared words own%'").count() == 8
 
 
+def test_chunk_table_of_hundreds_of_blocks(spark, monkeypatch):
+    """Each number of blocks up to 600 is that of some chunk, as in large tables."""
+    n = 600
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k + 1))) for k in range(n)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(pieces, "BLOCK_CHUNKS", 1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 1)  # each row is a block of its own: w0 is in all, w599 in one
+    try:
+        assert sorted(r.chunk for r in pieces.chunk_table(docs, PIECES).collect()) == sorted(f" w{j}" for j in range(n))
+        monkeypatch.setattr(pieces, "TABLE_CHUNKS", 450)
+        assert sorted(r.chunk for r in pieces.chunk_table(docs, PIECES).collect()) == sorted(f" w{j}" for j in range(450))
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_operators_on_nulls_and_repeats(spark):
     from sparkwright.llm.token_counts import token_counts
 
