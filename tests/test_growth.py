@@ -1,5 +1,6 @@
 """What a run keeps on disk, shuffles and holds in one task as its table grows."""
 
+import gzip
 import time
 
 import pytest
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 
 from sparkwright.contract import ColumnSpec, TableContract
 from sparkwright.functions import dates, strings
-from sparkwright.operators import checks
+from sparkwright.operators import checks, registry
+from sparkwright.plans.ledger import run
 from sparkwright.sources import scratch, sinks
 
 CONTRACT = TableContract((ColumnSpec("Transaction ID"),))
@@ -104,3 +106,27 @@ def test_ends_and_dates_are_as_the_patterns_say(spark):
     assert d.filter(~strings.stripped(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
     e = spark.createDataFrame([(f"{y}-{m:02d}-{x:02d}{end}",) for y in ("0000", "1900", "2000", "2023") for m in range(14) for x in range(33) for end in ("", "\n", " ")] + [("",), (None,), ("none",)], "t string")
     assert e.filter(~dates.is_date(F.col("t")).eqNullSafe(dates.parsed_date(F.col("t")).isNotNull())).count() == 0
+
+
+def test_packed_files_of_a_run_hold_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    """They are hashed whole, so a task with many rows writes several files."""
+    monkeypatch.setattr(sinks, "FILE_ROWS", 3, raising=False)
+    out = run(ledger(spark, 20, "concat(' txn ', id)").withColumn("row_uuid", F.lit("u")).coalesce(1), run_id="r4")
+    sinks.write_run(out, str(tmp_path / "r4"))
+    n = {name: [len(gzip.open(p, "rt").readlines()) for p in sorted((tmp_path / "r4" / name).glob("part-*.gz"))] for name in ("cleaned", "diff", "audit")}
+    assert sum(n["audit"]) == out.changes.count() >= 20 and max(n["audit"]) == 3
+    assert sum(k - 1 for k in n["cleaned"]) == 20 and max(n["cleaned"]) == 4 and max(n["diff"]) == 4  # with a header each
+    out.close()
+
+
+def test_rows_of_one_run_are_stored_without_a_sort(spark, tmp_path):
+    store, rows = str(tmp_path / "store"), lambda name, n: spark.range(n).select(F.concat(F.lit(name), "id").alias("event_id"), F.lit(name).alias("run_id"))
+    kept = lambda: {r.run_id: r["count"] for r in spark.read.schema("event_id string, run_id string").parquet(store).groupBy("run_id").count().collect()}
+    executions = spark._jsparkSession.sharedState().statusStore()
+    for name, n in (("a/b=1", 50), ("two", 5), ("a/b=1", 7), ("two", 0)):
+        before = executions.executionsCount()
+        registry.replace(rows(name, n), store, name)
+        plans = [executions.executionsList().apply(k).physicalPlanDescription() for k in range(before, executions.executionsCount())]
+        assert plans and not any("Sort" in p for p in plans)
+    assert kept() == {"a/b=1": 7}
+    assert len([p for p in (tmp_path / "store").iterdir() if p.is_dir()]) == 1
