@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.contract import ColumnSpec, TableContract
 from sparkwright.functions import dates, strings
-from sparkwright.operators import checks, registry
+from sparkwright.operators import checks, profiling, registry
 from sparkwright.plans.ledger import run
 from sparkwright.sources import scratch, sinks
 
@@ -130,3 +130,16 @@ def test_rows_of_one_run_are_stored_without_a_sort(spark, tmp_path):
         assert plans and not any("Sort" in p for p in plans)
     assert kept() == {"a/b=1": 7}
     assert len([p for p in (tmp_path / "store").iterdir() if p.is_dir()]) == 1
+
+
+def test_profiles_hold_the_most_frequent_values_from_one_shuffle_of_values(spark):
+    values = ["b"] * 4 + ["a"] * 4 + ["c"] * 3 + [None] * 9 + ["f", "e", "d", "g"]
+    df = spark.createDataFrame([(k, v, None) for k, v in enumerate(values)], "row_number long, v string, empty string").repartition(4)
+    out = profiling.profile(df)
+    rows = {r["column"]: r for r in out.collect()}
+    assert [tuple(x) for x in rows["v"].most_common] == [("a", 4), ("b", 4), ("c", 3), ("d", 1), ("e", 1)]
+    assert (rows["v"].non_null, rows["v"].nulls, rows["v"].distinct_values, rows["v"].data_type) == (15, 9, 7, "string")
+    assert (rows["empty"].non_null, rows["empty"].nulls, rows["empty"].distinct_values, rows["empty"].data_type, rows["empty"].most_common) == (0, 24, 0, "empty", [])
+    assert plan(out).count("Exchange hashpartitioning(column#") - plan(out).count("ReusedExchange") <= 3  # one of the values, two of a few rows for each column
+    rough = {r["column"]: r for r in profiling.profile(df, exact=False).collect()}
+    assert [x.n for x in rough["v"].most_common][:3] == [4, 4, 3] and all(x.value is not None for x in rough["v"].most_common) and rough["empty"].most_common == []
