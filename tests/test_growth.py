@@ -1,6 +1,7 @@
 """What a run keeps on disk, shuffles and holds in one task as its table grows."""
 
 import gzip
+import json
 import time
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkwright.contract import ColumnSpec, TableContract
 from sparkwright.functions import dates, strings
 from sparkwright.operators import checks, profiling, registry
+from sparkwright.operators.rules import CHANGE
 from sparkwright.plans.ledger import run
 from sparkwright.sources import scratch, sinks
 
@@ -143,3 +145,20 @@ def test_profiles_hold_the_most_frequent_values_from_one_shuffle_of_values(spark
     assert plan(out).count("Exchange hashpartitioning(column#") - plan(out).count("ReusedExchange") <= 3  # one of the values, two of a few rows for each column
     rough = {r["column"]: r for r in profiling.profile(df, exact=False).collect()}
     assert [x.n for x in rough["v"].most_common][:3] == [4, 4, 3] and all(x.value is not None for x in rough["v"].most_common) and rough["empty"].most_common == []
+
+
+def test_error_details_hold_ids_whole_data_values_and_fixes(spark):
+    errors = [(1010, "Date", None, "required_field", "Required field 'Date' is empty"), (1011, "A b", 'x"\n', "type_mismatch", "bad")]
+    changes = [(100, "Date", None, "", "date_normalization", "Normalized"), (10_000, "A b", "x", 'x"\n', "cache", "Mapped to canonical value")]
+    row = ("u1", 7, None, 'x"\n', errors, changes, "validation_failure", "parse_error")
+    df = spark.createDataFrame([row], f"row_uuid string, row_number long, Date string, `A b` string, __errors {checks.ERROR}, __changes {CHANGE}, error_category string, validator_category string")
+    got = [json.loads(r.detail) for r in sinks.errors_json(df).collect()]
+    assert got == [{
+        "row_uuid": "u1", "row_number": 7, "error_category": "validation_failure", "messages": ["Required field 'Date' is empty", "bad"], "data": {"Date": None, "A b": 'x"\n'},
+        "errors": [{"column": "Date", "value": None, "type": "required_field", "message": "Required field 'Date' is empty"}, {"column": "A b", "value": 'x"\n', "type": "type_mismatch", "message": "bad"}],
+        "fixes": [
+            {"column": "Date", "before_value": None, "after_value": "", "source": "rule", "confidence": 1.0, "reason": "Normalized"},
+            {"column": "A b", "before_value": "x", "after_value": 'x"\n', "source": "cache", "confidence": 0.9, "reason": "Mapped to canonical value"},
+        ],
+    }]
+    assert json.loads(sinks.errors_json(df.drop("__changes")).first().detail)["fixes"] == []
