@@ -113,11 +113,13 @@ def test_ends_and_dates_are_as_the_patterns_say(spark):
 def test_packed_files_of_a_run_hold_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
     """They are hashed whole, so a task with many rows writes several files."""
     monkeypatch.setattr(sinks, "FILE_ROWS", 3, raising=False)
-    out = run(ledger(spark, 20, "concat(' txn ', id)").withColumn("row_uuid", F.lit("u")).coalesce(1), run_id="r4")
+    monkeypatch.setattr(sinks, "TEXT_ROWS", 2, raising=False)
+    out = run(ledger(spark, 30, "CASE WHEN id < 20 THEN concat(' txn ', id) ELSE 'no' END").withColumn("row_uuid", F.lit("u")).coalesce(1), run_id="r4")
     sinks.write_run(out, str(tmp_path / "r4"))
-    n = {name: [len(gzip.open(p, "rt").readlines()) for p in sorted((tmp_path / "r4" / name).glob("part-*.gz"))] for name in ("cleaned", "diff", "audit")}
+    n = {name: [len(gzip.open(p, "rt").readlines()) for p in sorted((tmp_path / "r4" / name).glob("part-*.gz"))] for name in ("cleaned", "diff", "audit", "errors_json")}
     assert sum(n["audit"]) == out.changes.count() >= 20 and max(n["audit"]) == 3
     assert sum(k - 1 for k in n["cleaned"]) == 20 and max(n["cleaned"]) == 4 and max(n["diff"]) == 4  # with a header each
+    assert sum(n["errors_json"]) == 10 and max(n["errors_json"]) == 2
     out.close()
 
 
